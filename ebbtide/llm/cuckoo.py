@@ -49,12 +49,9 @@ class CuckooFilter:
     def insert(self, keys: np.ndarray) -> None:
         mark, bucket = self._places(keys)
         rng = np.random.default_rng(1)
+        left = self._put(mark, bucket)
+        mark, bucket = mark[left], self._other(mark[left], bucket[left])
         for _ in range(KICKS):
-            left = self._put(mark, bucket)
-            mark, bucket = mark[left], bucket[left]
-            if not len(mark):
-                return
-            bucket = self._other(mark, bucket)
             left = self._put(mark, bucket)
             mark, bucket = mark[left], bucket[left]
             if not len(mark):
@@ -68,6 +65,18 @@ class CuckooFilter:
             mark, bucket = np.concatenate([out, mark[waiting]]), np.concatenate([self._other(out, guests), bucket[waiting]])
         raise OverflowError("the filter is full")
 
+    @classmethod
+    def holding(cls, keys: np.ndarray) -> CuckooFilter:
+        """A filter with these keys, grown if the first size has no place for one."""
+        capacity = len(keys)
+        while True:
+            try:
+                found = cls(capacity)
+                found.insert(keys)
+                return found
+            except OverflowError:
+                capacity *= 2
+
     def contains(self, keys: np.ndarray) -> np.ndarray:
         mark, bucket = self._places(keys)
         return (self.table[bucket] == mark[:, None]).any(axis=1) | (self.table[self._other(mark, bucket)] == mark[:, None]).any(axis=1)

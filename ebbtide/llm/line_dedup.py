@@ -86,8 +86,7 @@ class LineIndex:
         def build(key, pdf):
             import pandas as pd
 
-            own = CuckooFilter(len(pdf))
-            own.insert(pdf["k1"].to_numpy())
+            own = CuckooFilter.holding(pdf["k1"].to_numpy())
             return pd.DataFrame({"shard": [key[0]], "blob": [own.dump()]})
 
         return shared.select(F.pmod("k2", F.lit(shards)).alias("shard"), "k1").groupBy("shard").applyInPandas(build, "shard long, blob binary")
@@ -97,7 +96,7 @@ class LineIndex:
         spark = self.references.sparkSession
         shared = saved(self.counts().filter("refs >= 2").select("k1", "k2", "keeper"))
         n_keys, rows = shared.count(), self.references
-        if n_keys * 2 * 4 <= FILTER_BYTES:  # a filter is half full at least
+        if n_keys * 2 * 5 <= FILTER_BYTES:  # 16 bits a slot, two fifths of which are full at least; one growth more is rare
             blobs = {r["shard"]: bytes(r["blob"]) for r in self.filters(shared, n_keys).collect()}
             sent, shards = spark.sparkContext.broadcast(blobs), filter_shards(n_keys)
 
