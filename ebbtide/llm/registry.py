@@ -1,12 +1,18 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
+from .langid import op1_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import OP5_SQL, op5_mixing
+from .packing import op8_packing
 from .sharding import op4_sharding
+from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES = {
