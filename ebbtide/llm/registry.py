@@ -1,5 +1,6 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
+from .jaccard import op3_jaccard_join
 from .langid import op1_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import OP5_SQL, op5_mixing
@@ -9,6 +10,7 @@ from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op7_toxicity": op7_toxicity,
