@@ -1,5 +1,7 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
+from .ann import op6_ann
+from .covertree import OP2_SQL, op2_exact_topk
 from .jaccard import op3_jaccard_join
 from .langid import op1_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
@@ -10,14 +12,17 @@ from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_exact_topk": op2_exact_topk,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
+    "op6_ann": op6_ann,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES = {
+    "op2_exact_topk": OP2_SQL,
     "op5_mixing": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
 }
