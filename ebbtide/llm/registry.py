@@ -7,6 +7,7 @@ from .langid import op1_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .packing import op8_packing
+from .repeats import op10_suffix_dedup
 from .sharding import op4_sharding
 from .toxicity import op7_toxicity
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {
     "op2_exact_topk": OP2_SQL,
