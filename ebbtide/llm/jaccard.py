@@ -4,10 +4,12 @@ A text's set is its distinct word n-grams, as 64-bit hashes.  Texts of one set s
 set.
 
 *Blocks.*  Two sets that reach the threshold differ in few tokens: at most k, which their sizes bound.  Cut the hash range
-into k + 1 + s classes: at least s + 1 classes are equal in both.  Each set emits a key for every class of three
-tokens or more (for all classes if more than s of its own are smaller), so a linked pair always shares a key; sets of
-about the same size use the same classes.  Sets that share keys, directly or through others, form a block: no link leaves
-a block.  Only one set for each key leaves a chunk of the input (its others are tied to it there), so that a key that a
+into k + 1 + s classes: at least s + 1 classes are equal in both.  Each set emits a key for every class of more than w
+tokens, w being the largest of 2, 1, 0 and -1 that leaves out s of its classes at most.  Of the s + 1 equal classes one has
+more tokens than the larger w of two linked sets, so a linked pair always shares a key; sets of about the same size use
+the same classes.  This holds for any choice of tokens that count in classes: those that different texts of a bounded
+sample share (common passages, license lines) don't, so that they tie no blocks together.  Sets that share keys,
+directly or through others, form a block: no link leaves a block.  Only one set for each key leaves a chunk of the input (its others are tied to it there), so that a key that a
 third of all sets share is no group of that size anywhere.
 
 *Trees.*  A block's sets are gathered once and joined by signature trees (see sigtree); large blocks are first cut into
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved
+from .common import bounded_sample, documents, saved
 from .graph import components
 from .sigtree import TokenSets, Tree, candidate_pairs, link
 from .words import rows
@@ -34,6 +36,8 @@ from .words import rows
 CELL_SETS = 1_024
 CELL_TOKENS = 1_000_000
 CHUNK_KEYS = 400_000
+SAMPLE = 4_000  # texts that common tokens are looked for in
+SAMPLE_TOKENS = 512  # tokens of each, the lowest hashes
 REDUCE_KEYS = 2_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -77,34 +81,59 @@ def level_of(size: int, percent: int) -> int:
     return int(np.searchsorted(levels(percent)[0], size, side="right")) - 1
 
 
-def keys_of(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The class keys of a set, at its own level and as the larger set at the level below."""
+def keys_of(tokens: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
+    """The class keys of a set, at its own level and as the larger set at the level below.
+
+    ``common``: sorted tokens that don't count in classes.
+    """
     _, differ, spare = levels(percent)
+    own = level_of(len(tokens), percent)
+    if common is not None and len(common):
+        tokens = tokens[common[np.searchsorted(common, tokens).clip(max=len(common) - 1)] != tokens]
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens ^ _M1))])
     found = []
-    own = level_of(len(tokens), percent)
     for level in (own, own - 1):
         if level >= 0 and differ[level]:
             m = int(differ[level] + 1 + spare[level])
             edge = np.concatenate([[0], np.searchsorted(tokens, _bounds(m)), [len(tokens)]])
             count = np.diff(edge)
             key = mixed((total[edge[1:]] - total[edge[:-1]]) * _M3 + (np.arange(m, dtype=np.uint64) << np.uint64(20)) * _M1 + np.array([level], np.uint64) * _M2 + count.astype(np.uint64))
-            small = count <= 2
-            found.append(key if small.sum() > spare[level] else key[~small])
+            at_most = np.cumsum(np.bincount(np.minimum(count, 3), minlength=4))
+            w = next((w for w in (2, 1, 0) if at_most[w] <= spare[level]), -1)
+            found.append(key[count > w])
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def common_tokens(docs: DataFrame, n: int) -> np.ndarray:
+    """Tokens that unlike texts of a bounded sample share, sorted.  A text of which half is known counts for nothing."""
+
+    def lowest(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shingles(t, n)[:SAMPLE_TOKENS].tobytes() for (t,) in rows(batch, 16)], pa.binary())], ["tokens"])
+
+    chosen = bounded_sample(docs.select("doc", "text"), F.col("doc"), SAMPLE).select("text").limit(2 * SAMPLE)
+    found = sorted(bytes(r["tokens"]) for r in chosen.mapInArrow(lowest, "tokens binary").collect())
+    sets = [np.frombuffer(b, np.uint64) for b in found if b]
+    names, at = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
+    seen = np.zeros(len(names), np.int64)
+    for own in np.split(at, np.cumsum([len(x) for x in sets])[:-1]) if sets else ():
+        if 2 * np.count_nonzero(seen[own]) < len(own):
+            seen[own] += 1
+    return names[seen > 1]
+
+
 def set_id(tokens: np.ndarray) -> int | None:
     return int.from_bytes(xxhash.xxh3_64_digest(tokens.tobytes()), "little", signed=True) if len(tokens) else None
 
 
-def _summaries(n: int, percent: int):
+def _summaries(n: int, percent: int, common):
     def run(batches):
+        known = common.value
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, at, text in rows(batch, 16):
                 tokens = shingles(text, n)
-                for own, x in zip(out, (doc, at, len(tokens), set_id(tokens), keys_of(tokens, percent).tobytes()), strict=True):
+                for own, x in zip(out, (doc, at, len(tokens), set_id(tokens), keys_of(tokens, percent, known).tobytes()), strict=True):
                     own.append(x)
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.binary())], ["doc", "th", "n", "sid", "keys"])
 
@@ -238,7 +267,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id
         raise ValueError("percent must be from 50 to 100")
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(value).alias("th"), value.alias("text"))
-    summary = saved(slim.mapInArrow(_summaries(n, percent), "doc long, th long, n long, sid long, keys binary"))
+    common = docs.sparkSession.sparkContext.broadcast(common_tokens(slim, n))
+    summary = saved(slim.mapInArrow(_summaries(n, percent, common), "doc long, th long, n long, sid long, keys binary"))
     sets = saved(summary.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "th")).alias("of"), F.max("n").alias("n")))
     roots = blocks_of(summary)
     members = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()).withColumnsRenamed({"v": "sid", "root": "block"})
