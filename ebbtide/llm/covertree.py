@@ -25,7 +25,7 @@ from .words import rows
 LEAF = 64
 FAN = 8
 PIVOTS = 512
-EXACT = float(1 << 22)  # integers below it have exact products and sums of a few hundred in double precision
+LARGEST = 2**63 - 1
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,6 +37,11 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return whole[0] @ whole[1].T
 
 
+def at_most(x) -> float:
+    """A double that isn't above the number."""
+    return float(x) if abs(x) < 2**53 else float(np.nextafter(float(x), -np.inf))
+
+
 class Node:
     __slots__ = ("children", "far", "members", "norm", "parent", "worst", "x")
 
@@ -80,7 +85,7 @@ class TopK:
         best.sort()
         del best[self.k :]
         if len(best) == self.k:
-            self.kth[i] = max(self.kth[i], -best[-1][0])
+            self.kth[i] = max(self.kth[i], at_most(-best[-1][0]))
 
 
 def search(queries: np.ndarray, top: TopK, points: np.ndarray, ids: list[list[int]]) -> int:
@@ -131,8 +136,8 @@ def floors(queries: np.ndarray, own: np.ndarray, sample: np.ndarray, sample_ids:
         return np.full(len(queries), -np.inf)
     if len(sample) <= k:
         return np.full(len(queries), -np.inf)
-    scores = np.sort(inner(queries, sample).astype(float), axis=1)
-    return scores[:, -(k + 1)]  # one of the sample may be the query itself
+    scores = np.sort(inner(queries, sample), axis=1)
+    return np.array([at_most(x) for x in scores[:, -(k + 1)]])  # one of the sample may be the query itself
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -144,7 +149,7 @@ def top_inner_products(df: DataFrame, is_query, k: int, *, change=quantised, vec
 
     ``is_query`` tells queries by their id column; ``change`` maps a vector to the one that takes part, whose components
     must be integers.  Which vectors take part: see ``vectors``.  Fewer than k others give them all; ties go to the
-    smaller id; a row that is repeated counts once.
+    smaller id; a row that is repeated counts once.  A score beyond 63 bits counts as the largest there is.
     """
     found = vectors(df, change, nonzero=False, vec_id=vec_id, embedding=embedding)
     points = saved(distinct(found, k + 1))
@@ -171,16 +176,16 @@ def top_inner_products(df: DataFrame, is_query, k: int, *, change=quantised, vec
         queries, own = as_rows(q.column("blob").to_pylist()), q.column("id").to_numpy()
         top = TopK(own, k, floors(queries, own, sample, sample_ids, k))
         search(queries, top, as_rows(p.column("blob").to_pylist()), p.column("ids").to_pylist())
-        flat = [(int(i), v, -s) for i, best in zip(own, top.best, strict=True) for s, v in best]
-        return hits([x[0] for x in flat], [x[1] for x in flat], [x[2] for x in flat])
+        flat = [(int(i), v, max(-LARGEST, min(LARGEST, int(-s)))) for i, best in zip(own, top.best, strict=True) for s, v in best]
+        return hits([x[0] for x in flat], [x[1] for x in flat], [x[2] for x in flat], pa.int64())
 
-    return meet(dealt, placed, run, k, [F.desc("score")])
+    return meet(dealt, placed, run, k, [F.desc("score")], kind="long")
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every twentieth vector with all others, in 64ths rounded down."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return top_inner_products(table, lambda i: i % 20 == 0, 20).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    return top_inner_products(table, lambda i: i % 20 == 0, 20).select("query_id", "rank", "vec_id", "score")
 
 
 OP2_SQL = """

@@ -25,6 +25,7 @@ from .tokens import encoder
 CAPACITY = 4096
 END = 1
 STEPS = 200
+SHARES = (1.0, 0.5, 0.0)  # of the fitted counts, tried in this order
 MIDDLES = 48  # lengths that stand in the middle of a pattern of three
 
 
@@ -87,10 +88,33 @@ def nonnegative_least_squares(columns: np.ndarray, target: np.ndarray, steps: in
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Intervals (length, lo, hi, first sequence, offset) that place every piece, and the number of sequences."""
-    left = {k: int(n) for k, n in histogram.items() if n > 0}
-    if any(not 1 <= k <= capacity for k in left):
+    """Intervals (length, lo, hi, first sequence, offset) that place every piece, and the number of sequences.
+
+    Patterns that use up the very lengths that would fill gaps can cost more than they save, so their counts are tried
+    whole and in part, and the plan of fewest sequences stands; one that wastes less than a sequence stands at once.
+    """
+    wanted = {k: int(n) for k, n in histogram.items() if n > 0}
+    if any(not 1 <= k <= capacity for k in wanted):
         raise ValueError("a length is outside 1..capacity")
+    if not wanted:
+        return [], 0
+    lengths = np.array(sorted(wanted))
+    columns = patterns(lengths, np.array([wanted[k] for k in lengths]), capacity)
+    times = nonnegative_least_squares(columns, np.array([wanted[k] for k in lengths]))
+    least = -(-sum(k * n for k, n in wanted.items()) // capacity)
+    best = None
+    for share in SHARES:
+        found = _planned(wanted, capacity, lengths, columns, times * share)
+        if best is None or found[1] < best[1]:
+            best = found
+        if best[1] == least:
+            break
+    return best
+
+
+def _planned(wanted: dict[int, int], capacity: int, lengths: np.ndarray, columns: np.ndarray, times: np.ndarray) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The patterns as often as ``times`` says, rounded down, then the rest by best fit."""
+    left = dict(wanted)
     used: dict[int, int] = defaultdict(int)
     out: list[tuple[int, int, int, int, int]] = []
     sequences = 0
@@ -100,21 +124,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
         used[length] += n
         left[length] -= n
 
-    if left:
-        lengths = np.array(sorted(left))
-        columns = patterns(lengths, np.array([left[k] for k in lengths]), capacity)
-        times = nonnegative_least_squares(columns, np.array([left[k] for k in lengths]))
-        for i in np.argsort(-times, kind="stable"):
-            if times[i] < 1:
-                break
-            parts = [int(lengths[b]) for b in columns[i] if b >= 0]
-            n = min(int(times[i]), *(left[k] // parts.count(k) for k in parts))
-            if n > 0:
-                offset = 0
-                for k in parts:
-                    place(k, n, sequences, offset)
-                    offset += k
-                sequences += n
+    for i in np.argsort(-times, kind="stable"):
+        if times[i] < 1:
+            break
+        parts = [int(lengths[b]) for b in columns[i] if b >= 0]
+        n = min(int(times[i]), *(left[k] // parts.count(k) for k in parts))
+        if n > 0:
+            offset = 0
+            for k in parts:
+                place(k, n, sequences, offset)
+                offset += k
+            sequences += n
     rooms: list[int] = []  # what is free in open sequences, ascending
     runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by that: (first sequence, how many)
 

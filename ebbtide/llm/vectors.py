@@ -69,7 +69,7 @@ def parts(counts: dict[int, int], size: int) -> tuple[list[int], list[int], int]
     return [int(x) for x in first], each, sum(each)
 
 
-def meet(queries: DataFrame, points: DataFrame, search: Callable, k: int, order: list, known: DataFrame | None = None) -> DataFrame:
+def meet(queries: DataFrame, points: DataFrame, search: Callable, k: int, order: list, known: DataFrame | None = None, kind: str = "double") -> DataFrame:
     """Search every block of points for every block of queries that is to meet it, and keep each query's best k.
 
     ``queries``: id, blob, blocks (array of the blocks to meet), part; ``points``: blob, ids, block, parts (how many query
@@ -77,11 +77,11 @@ def meet(queries: DataFrame, points: DataFrame, search: Callable, k: int, order:
     """
     q = queries.select("id", "blob", "part", F.explode("blocks").alias("block"))
     p = points.select("blob", "ids", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    found = q.groupBy("block", "part").cogroup(p.groupBy("block", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = q.groupBy("block", "part").cogroup(p.groupBy("block", "part")).applyInArrow(search, f"query_id long, vec_id long, score {kind}")
     found = found if known is None else found.unionByName(known)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def hits(query: list[int], vec: list[int], score: list[float]) -> pa.Table:
-    return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
+def hits(query: list[int], vec: list[int], score: list, kind: pa.DataType = pa.float64()) -> pa.Table:
+    return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, kind)})
