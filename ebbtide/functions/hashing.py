@@ -7,6 +7,8 @@ hashes: some integer's hash is any wanted seed, and hashing that integer first s
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,7 +77,8 @@ def finalized(x: Column) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 16))
 
 
-def row_columns(key: int, seed: int, d: int, w: int) -> list[int]:
+@lru_cache(maxsize=1 << 16)
+def row_columns(key: int, seed: int, d: int, w: int) -> tuple[int, ...]:
     """The cell of a key in each of d rows of w cells (a power of two)."""
     base = hash_key(key, seed) ^ hash_key(key, seed ^ SECOND)
-    return [finalize(base ^ ((i * GOLDEN) & MASK)) & (w - 1) for i in range(d)]
+    return tuple(finalize(base ^ ((i * GOLDEN) & MASK)) & (w - 1) for i in range(d))

@@ -118,56 +118,66 @@ class Adwin:
     def __init__(self, params: AdwinParams):
         self.params = params
         self.centre = 0.0
-        self.levels: list[list[tuple]] = [[]]  # of (count, sum, sum of squares, min, max); oldest first; sums are about the centre
-
-    def _rows(self) -> np.ndarray:
-        """The buckets, oldest first."""
-        rows = [b for level in reversed(self.levels) for b in level]
-        return np.array(rows, float).reshape(-1, 5)
+        # count, sum, sum of squares, min, max of each bucket, oldest first, so levels stand from the highest to level 0;
+        # sums are about the centre
+        self.rows = np.zeros((5, 64 * (self.PER_LEVEL + 1)))
+        self.used = 0
+        self.levels = [0]  # buckets of each level
 
     def add(self, x) -> bool:
         x = float(_number(x, self.LIMIT))
-        if not any(self.levels):
+        if not self.used:
             self.centre = x
         y = x - self.centre
-        self.levels[0].append((1, y, y * y, x, x))
+        self.rows[:, self.used] = 1, y, y * y, x, x
+        self.used += 1
+        self.levels[0] += 1
+        end = self.used
         for i in range(len(self.levels)):
-            if len(self.levels[i]) <= self.PER_LEVEL:
+            at = end - self.levels[i]  # the level's oldest bucket
+            if self.levels[i] <= self.PER_LEVEL:
                 break
-            a, b = self.levels[i].pop(0), self.levels[i].pop(0)
+            a, b = self.rows[:, at], self.rows[:, at + 1]
+            a[:3] += b[:3]
+            a[3], a[4] = min(a[3], b[3]), max(a[4], b[4])  # it is the newest of the next level where it stands
+            self.rows[:, at + 1 : self.used - 1] = self.rows[:, at + 2 : self.used]
+            self.used -= 1
+            self.levels[i] -= 2
             if i + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[i + 1].append((a[0] + b[0], a[1] + b[1], a[2] + b[2], min(a[3], b[3]), max(a[4], b[4])))
+                self.levels.append(0)
+            self.levels[i + 1] += 1
+            end = at + 1
         cut = False
         while self._differs():
             cut = True
-            next(level for level in reversed(self.levels) if level).pop(0)
+            self.rows[:, : self.used - 1] = self.rows[:, 1 : self.used]
+            self.used -= 1
+            self.levels[-1] -= 1
             while len(self.levels) > 1 and not self.levels[-1]:
                 self.levels.pop()
         if cut:
-            n, s, _ = self._totals()
-            d = s / n
+            c, s, q = self.rows[:3, : self.used]
+            d = s.sum() / c.sum()
             self.centre += d
-            self.levels = [[(c, s - c * d, q - 2 * d * s + c * d * d, lo, hi) for c, s, q, lo, hi in level] for level in self.levels]
+            q += c * d * d - 2 * d * s
+            s -= c * d
         return cut
 
     def _totals(self) -> tuple[float, float, float]:
-        rows = self._rows()
-        return tuple(rows[:, :3].sum(axis=0).tolist()) if len(rows) else (0, 0.0, 0.0)
+        return tuple(self.rows[:3, : self.used].sum(axis=1).tolist())
 
     def _differs(self) -> bool:
-        rows = self._rows()
-        n = rows[:, 0].sum()
-        if n <= 1:
+        if self.used < 2:
             return False
-        s, q = rows[:, 1].sum(), rows[:, 2].sum()
+        c, s, _, low, high = self.rows[:, : self.used]
+        n, total, squares = self._totals()
         term = math.log(2 * math.log(n) / self.params.delta)
-        variance = max(q / n - (s / n) ** 2, 0.0)
-        spread = rows[1:, 4].max() - rows[1:, 3].min() if len(rows) > 1 else 0.0  # of what a cut would keep
-        n0, s0 = np.cumsum(rows[:-1, 0]), np.cumsum(rows[:-1, 1])
-        n1 = n - n0
-        inverse = 1 / n0 + 1 / n1
-        return bool((np.abs(s0 / n0 - (s - s0) / n1) > np.sqrt(2 * inverse * variance * term) + 2 / 3 * spread * inverse * term).any())
+        variance = max(squares / n - (total / n) ** 2, 0.0)
+        spread = high[1:].max() - low[1:].min()  # of what a cut would keep
+        n0, s0 = c[:-1].cumsum(), s[:-1].cumsum()
+        inverse = 1 / n0 + 1 / (n - n0)
+        gap = np.abs(s0 / n0 - (total - s0) / (n - n0))
+        return bool((gap > np.sqrt(2 * variance * term * inverse) + 2 / 3 * spread * term * inverse).any())
 
     def width(self) -> int:
         return int(self._totals()[0])
@@ -307,7 +317,7 @@ class PaneClock(Clock):
 
     def __init__(self, window: int, panes: int):
         super().__init__()
-        self.window, self.panes = window, panes
+        self.window, self.panes, self.oldest = window, panes, None
 
     def pane(self, t) -> int:
         return math.floor(t * self.panes / self.window) if not isinstance(t, int) else t * self.panes // self.window
@@ -315,11 +325,16 @@ class PaneClock(Clock):
     def first(self, w=None) -> int:
         return self.pane(self.now - (self.window if w is None else w))
 
-    def move(self, t, panes: dict) -> None:
+    def move(self, t, *panes: dict) -> None:
+        """Set the clock and forget the panes that have left the window."""
         self.check(t)
         self.now = t
-        for p in [p for p in panes if p < self.first()]:
-            del panes[p]
+        first = self.first()
+        if first != self.oldest:
+            self.oldest = first
+            for held in panes:
+                for p in [p for p in held if p < first]:
+                    del held[p]
 
 
 class ConservativeCountMin(PaneClock):
@@ -335,10 +350,12 @@ class ConservativeCountMin(PaneClock):
         key = _key(key)
         if isinstance(count, bool) or int(count) != count or not 1 <= count <= MASK:
             raise Refused(f"not a count: {count!r}")
-        self.move(t, self.cells)
-        self.totals = {p: n for p, n in self.totals.items() if p >= self.first()}
-        rows = self.cells.setdefault(self.pane(t), [{} for _ in range(self.params.d)])
-        self.totals[self.pane(t)] = self.totals.get(self.pane(t), 0) + int(count)
+        self.move(t, self.cells, self.totals)
+        pane = self.pane(t)
+        if pane not in self.cells:
+            self.cells[pane] = [{} for _ in range(self.params.d)]
+        rows = self.cells[pane]
+        self.totals[pane] = self.totals.get(pane, 0) + int(count)
         columns = row_columns(key, self.params.seed, self.params.d, self.params.w)
         if self.params.conservative:
             goal = min(min(r.get(c, 0) for r, c in zip(rows, columns, strict=True)) + int(count), MASK)
@@ -349,8 +366,7 @@ class ConservativeCountMin(PaneClock):
                 r[c] = min(r.get(c, 0) + int(count), MASK)
 
     def advance(self, t) -> None:
-        self.move(t, self.cells)
-        self.totals = {p: n for p, n in self.totals.items() if p >= self.first()}
+        self.move(t, self.cells, self.totals)
 
     def estimate(self, key, w=None) -> float:
         if w is not None and not (math.isfinite(w) and 0 < w <= self.window):
