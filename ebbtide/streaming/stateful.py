@@ -8,13 +8,16 @@ watermark when that passes its last event by as much, and its summary is emitted
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import Refused
+from ..sources.shared import shared_dir
 
 
 def fold_stream(stream: DataFrame, make: Callable[[], object], step: Callable[[object, object], Iterable[tuple]], schema: str, *, late: str = "drop", idle: int | None = None, read: Callable[[object], Iterable[tuple]] | None = None, columns: tuple[str, ...] = ("t", "seq", "value")) -> DataFrame:
@@ -65,20 +68,14 @@ def fold_stream(stream: DataFrame, make: Callable[[], object], step: Callable[[o
 
 def tumbling_five(stream: DataFrame, pane_seconds: int) -> DataFrame:
     """Pane rows of the exact aggregates as a stream: by, pane start, count, sum, min, max, once the watermark has passed."""
-    from pyspark.sql import functions as F
-
     window = F.window("ts", f"{pane_seconds} seconds")
     return stream.groupBy("grp", window).agg(F.count("value").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max")).select("grp", F.unix_micros("window.start").alias("start"), "count", "sum", "min", "max")
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return what it wrote, as a table in the shared folder."""
-    import tempfile
-    import uuid
-
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="ebbtide-")
-    path = f"{base.rstrip('/')}/ebbtide-stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ebbtide-stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
     if query.exception():
