@@ -3,22 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_made: list = []
-
+from ..sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ebbtide-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+_made: list = []
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -18,10 +18,15 @@ DIGITS = 13  # hexadecimal digits of a hash in a uniform number: 52 bits
 TERMS = 96  # thresholds of the distribution; beyond, P < 1e-40 at rate 16
 
 
-def uniform(*parts: Column) -> Column:
-    """In [0, 1), from an md5, which any SQL engine can repeat."""
+def hashed(digits: int, *parts: Column) -> Column:
+    """The first hexadecimal digits of an md5, which any SQL engine can repeat, as a LONG."""
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def uniform(*parts: Column) -> Column:
+    """In [0, 1)."""
+    return hashed(DIGITS, *parts).cast("double") / float(16**DIGITS)
 
 
 def thresholds(rate: Column) -> Column:
@@ -52,13 +57,31 @@ def rates(df: DataFrame, source: Column, amount: Column, weights: dict[str, floa
     return rated.select("_source", "_rate", parts.alias("_parts"), thresholds(F.col("_rate") / parts).alias("_cdf"))
 
 
-def replicate(df: DataFrame, *, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 7, source: str = "source", text: str = "text", doc_id: str = "doc_id", counts_only: bool = False) -> DataFrame:
-    """Each document as often as its Poisson count says, dealt out over all partitions.
+def replicate(df: DataFrame, *, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 7, source: str = "source", text: str = "text", doc_id: str = "doc_id", told: bool = False) -> DataFrame:
+    """Each document as often as its Poisson count says, dealt out over all partitions in an order that hashes give.
 
-    Returns the columns of ``df``; with ``counts_only`` doc_id, source, rate and ``n_copies`` for every document, 0
-    included.  The size of a document is its bytes plus 1, so empty and null texts count a little.  Null sources are one
-    source.  Repeated rows have equal counts.  No rows give no rows.
+    Returns the columns of ``df``; with ``told`` also ``copy`` (from 1) and ``deal`` (48 bits that give the order).  The size
+    of a document is its bytes plus 1, so empty and null texts count a little.  Null sources are one source.  Repeated rows
+    have equal counts.  No rows give no rows.
     """
+    counted = _counted(df, weights, temperature, seed, source, text, doc_id)
+    copies = counted.filter("_n > 0").select("_doc", "_id", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    dealt = copies.withColumn("_deal", hashed(12, F.lit(seed), F.col("_id"), F.lit("deal"), F.col("_copy")))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mixed = dealt.repartition(width, "_deal").sortWithinPartitions("_deal")
+    if not told:
+        return mixed.select("_doc.*")
+    rest = [F.col(f"_doc.`{c}`").alias(c) for c in df.columns if c not in ("copy", "deal")]  # these two names mean its own
+    return mixed.select(*rest, F.col("_copy").alias("copy"), F.col("_deal").alias("deal"))
+
+
+def copy_counts(df: DataFrame, *, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 7, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, source, rate, n_copies) of every document, 0 copies included."""
+    counted = _counted(df, weights, temperature, seed, source, text, doc_id)
+    return counted.select(F.col("_id").alias(doc_id), F.col("_doc")[source].alias(source), F.round("_rate", 9).alias("rate"), F.col("_n").alias("n_copies"))
+
+
+def _counted(df: DataFrame, weights: dict[str, float] | None, temperature: float, seed: int, source: str, text: str, doc_id: str) -> DataFrame:
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
     named = None if weights is None else {f"={k}": w for k, w in weights.items()}
     amount = F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) + 1
@@ -66,18 +89,12 @@ def replicate(df: DataFrame, *, weights: dict[str, float] | None = None, tempera
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_doc"), name.alias("_source"), F.col(doc_id).alias("_id"))
     joined = rows.join(F.broadcast(table) if table.count() <= 100_000 else table, "_source")
     drawn = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.aggregate(F.col("_cdf"), F.struct(F.lit(0).alias("n"), uniform(F.lit(seed), F.col("_id"), j).alias("u")), lambda a, c: F.struct((a["n"] + (a["u"] >= c).cast("int")).alias("n"), a["u"].alias("u")), lambda a: a["n"]))
-    counted = joined.withColumn("_n", F.aggregate(drawn, F.lit(0), lambda a, x: a + x))
-    if counts_only:
-        return counted.select(F.col("_id").alias(doc_id), F.col("_doc")[source].alias(source), F.round("_rate", 9).alias("rate"), F.col("_n").alias("n_copies"))
-    copies = counted.filter("_n > 0").select("_doc", "_id", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
-    dealt = copies.withColumn("_deal", F.xxhash64(F.lit(seed), "_id", "_copy"))
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(width, "_deal").sortWithinPartitions("_deal").select("_doc.*")
+    return joined.withColumn("_n", F.aggregate(drawn, F.lit(0), lambda a, x: a + x))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The copies of every document when sources weigh as the square root of their bytes."""
-    return replicate(documents(spark, sf_dir), counts_only=True)
+    """The mixture in which sources weigh as the square root of their bytes: every copy, with its place in the order."""
+    return replicate(documents(spark, sf_dir), told=True)
 
 
 OP5_SQL = f"""
@@ -89,10 +106,13 @@ WITH RECURSIVE sizes AS (
   SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rated
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < {TERMS}
-), drawn AS (
-  SELECT doc_id, source, CAST(concat('0x', substr(md5(concat('7:', doc_id, ':0')), 1, {DIGITS})) AS BIGINT) / {float(16**DIGITS)!r} AS u FROM documents
+), sorted AS (
+  SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source
+), counted AS (
+  SELECT d.*, len(list_filter(cs, lambda c: u >= c)) AS n FROM (
+    SELECT *, CAST(concat('0x', substr(md5(concat('7:', doc_id, ':0')), 1, {DIGITS})) AS BIGINT) / {float(16**DIGITS)!r} AS u FROM documents
+  ) d JOIN sorted ON sorted.source IS NOT DISTINCT FROM d.source
 )
-SELECT d.doc_id, d.source, round(any_value(cdf.rate), 9) AS rate, CAST(count(*) FILTER (WHERE d.u >= cdf.c) AS INTEGER) AS n_copies
-FROM (SELECT *, row_number() OVER () AS r FROM drawn) d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source
-GROUP BY d.r, d.doc_id, d.source
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, CAST(concat('0x', substr(md5(concat('7:', doc_id, ':deal:', copy)), 1, 12)) AS BIGINT) AS deal
+FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)
 """

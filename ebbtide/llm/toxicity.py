@@ -119,12 +119,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 16_000, max_words
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> DataFrame:
     """``docs`` with a last column _score from 0 to 1; null and empty texts have the score of no words."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"), F.col(text).cast("string").alias("_text"))
+    at = docs.columns.index(text)
+    slim = docs.select(F.struct(*[docs[f"`{c}`"].cast("string").alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns]).alias("_doc"))
 
     def run(batches):
         own = sent.value
         for batch in batches:
-            found = [own.score(t) for (t,) in rows(batch.select(["_text"]))]
+            texts = batch.column(0).field(at)
+            found = [own.score(t) for i in range(0, len(texts), 64) for t in texts.slice(i, 64).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["_doc", "_score"])
 
     return slim.mapInArrow(run, f"_doc {slim.schema['_doc'].dataType.simpleString()}, _score double")

@@ -84,12 +84,12 @@ def test_sharding(docs, none):
 
 
 def test_mixing(docs, none):
-    counts = mixing.replicate(docs, counts_only=True).collect()
+    counts = mixing.copy_counts(docs).collect()
     assert len(counts) == docs.count()
     mixed = mixing.replicate(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.n_copies for r in counts)
     assert mixing.replicate(none).count() == 0
-    only = mixing.replicate(docs, weights={"b": 1.0}, counts_only=True).collect()
+    only = mixing.copy_counts(docs, weights={"b": 1.0}).collect()
     assert all(r.n_copies == 0 for r in only if r.source != "b")
     with pytest.raises(ValueError):
         mixing.replicate(docs, weights={})

@@ -265,10 +265,10 @@ def test_mixing_reaches_the_weights(spark):
     mixed = mixing.replicate(table, weights={"big": 0.5, "small": 0.5}).groupBy("source").count().collect()
     shares = {r.source: r["count"] / 30_000 for r in mixed}
     assert shares["big"] == pytest.approx(0.5, abs=0.02) and shares["small"] == pytest.approx(0.5, abs=0.02)
-    counts = mixing.replicate(table, weights={"big": 1, "small": 80}, counts_only=True).filter("source = 'small'").select("n_copies", "rate").collect()
+    counts = mixing.copy_counts(table, weights={"big": 1, "small": 80}).filter("source = 'small'").select("n_copies", "rate").collect()
     n = np.array([r.n_copies for r in counts])
     assert n.mean() == pytest.approx(counts[0].rate, rel=0.03) and n.var() == pytest.approx(counts[0].rate, rel=0.1)
-    steep = mixing.replicate(table.filter("source = 'big' or doc_id = 7"), weights={"small": 1}, counts_only=True).filter("n_copies > 0").collect()
+    steep = mixing.copy_counts(table.filter("source = 'big' or doc_id = 7"), weights={"small": 1}).filter("n_copies > 0").collect()
     assert len(steep) == 1 and abs(steep[0].n_copies - steep[0].rate) < 6 * steep[0].rate**0.5  # a rate of thousands
 
 
