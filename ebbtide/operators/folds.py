@@ -345,6 +345,7 @@ class ConservativeCountMin(PaneClock):
         self.params = params
         self.cells: dict[int, list[dict[int, int]]] = {}
         self.totals: dict[int, int] = {}
+        self.saturated = False  # whether a cell has ever met its limit
 
     def add(self, t, key, count=1) -> None:
         key = _key(key)
@@ -357,6 +358,7 @@ class ConservativeCountMin(PaneClock):
         rows = self.cells[pane]
         self.totals[pane] = self.totals.get(pane, 0) + int(count)
         columns = row_columns(key, self.params.seed, self.params.d, self.params.w)
+        self.saturated |= max(r.get(c, 0) for r, c in zip(rows, columns, strict=True)) + int(count) > MASK
         if self.params.conservative:
             goal = min(min(r.get(c, 0) for r, c in zip(rows, columns, strict=True)) + int(count), MASK)
             for r, c in zip(rows, columns, strict=True):

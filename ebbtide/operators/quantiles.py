@@ -16,9 +16,15 @@ from .panes import live, pane_partials
 
 
 def bins(df: DataFrame, params: QuantileParams) -> DataFrame:
-    """grp, pane, bin (null for zeros), n, last_t, collapsed.  A negative or non-finite value is an error."""
+    """grp, pane, bin (null for zeros), n, last_t, collapsed.
+
+    A negative or non-finite value is an error, and so is a positive one outside a declared range.
+    """
     v = F.col("value")
     checked = F.when((v >= 0) & (v < F.lit(math.inf)), v).otherwise(F.raise_error(F.lit("a value must be finite and at least 0")).cast("double"))
+    if params.range is not None:
+        inside = (v == 0) | v.between(*[F.lit(float(x)) for x in params.range])
+        checked = F.when(inside, checked).otherwise(F.raise_error(F.lit("a value is outside the declared range")).cast("double"))
     bin_of = F.when(v > 0, F.ceil(F.log(checked) * (1 / math.log(params.gamma))))
     grid = PaneWindow(params.window, params.panes)
     counted = pane_partials(df.withColumn("bin", F.when(checked >= 0, bin_of)), grid, F.count(F.lit(1)).alias("n"), keys=("bin",))

@@ -151,18 +151,31 @@ class DriftParams:
 
 @dataclass(frozen=True)
 class QuantileParams:
-    """Relative-error quantiles on a pane grid; ``bins`` a pane at most, unless ``strict`` refuses to collapse."""
+    """Relative-error quantiles on a pane grid; ``bins`` a pane at most, unless ``strict`` refuses to collapse.
+
+    A declared ``range`` of the positive values refuses those outside; if it fits the bins, nothing ever collapses.
+    """
 
     window: int
     alpha: float = 0.01
     panes: int = 32
     strict: bool = False
     bins: int = 2048
+    range: tuple[float, float] | None = None
 
     def __post_init__(self):
         PaneWindow(self.window, self.panes)
         _need(_finite(self.alpha) and 0 < self.alpha < 1, "alpha must be between 0 and 1")
         _need(isinstance(self.bins, int) and self.bins >= 2, "bins must be at least 2")
+        if self.range is not None:
+            _need(len(self.range) == 2 and all(map(_finite, self.range)) and 0 < self.range[0] < self.range[1], "a range is two numbers above 0, the smaller first")
+            _need(not self.strict or self.fits, "the range spans more bins than there are")
+
+    @property
+    def fits(self) -> bool:
+        """Whether the declared range never needs more bins than there are."""
+        scale = math.log(self.gamma)
+        return self.range is not None and math.ceil(math.log(self.range[1]) / scale) - math.ceil(math.log(self.range[0]) / scale) < self.bins
 
     @property
     def gamma(self) -> float:
@@ -210,3 +223,10 @@ class ReservoirParams:
     @property
     def rate(self) -> float:
         return math.log(2) / self.half_life
+
+
+def describe(params) -> dict:
+    """Every parameter by name, and what follows from them."""
+    given = {f.name: getattr(params, f.name) for f in fields(params)}
+    derived = {n: getattr(params, n) for n in dir(type(params)) if isinstance(getattr(type(params), n), property)}
+    return given | derived

@@ -159,6 +159,10 @@ def test_conservative_cells_never_underestimate_and_beat_plain_ones():
         assert true <= covered <= low <= high
     assert kinds[0].total() == sum(n for t, _, n in events if t * 10 // 1000 >= first)
     assert math.isnan(kinds[0].estimate(1, 2000))
+    assert not kinds[0].saturated
+    kinds[0].add(5000, 1, 2**32 - 1)
+    kinds[0].add(5000, 1, 1)
+    assert kinds[0].saturated and kinds[0].estimate(1) == 2**32 - 1
     kinds[0].advance(10_000)
     assert kinds[0].total() == 0 and kinds[0].estimate(1) == 0
 

@@ -110,6 +110,10 @@ def test_few_bins_fold_or_refuse(df, spark):
     assert all(r.bins <= 16 and r.collapsed for r in few)
     with pytest.raises(Exception, match="more bins"):
         quantiles.count(df, QuantileParams(400, 0.02, 16, True, 16)).collect()
+    with pytest.raises(Exception, match="declared range"):
+        quantiles.count(df, QuantileParams(400, 0.02, 16, range=(1.0, 2.0))).collect()
+    wide = quantiles.count(df, QuantileParams(400, 0.02, 16, range=(1e-4, 1e6))).collect()
+    assert not any(r.collapsed for r in wide) and QuantileParams(400, 0.02, 16, range=(1e-4, 1e6)).fits
     with pytest.raises(Exception, match="at least 0"):
         quantiles.count(spark.createDataFrame([("a", 1, 1, -1.0, 1, 1)], SCHEMA), QuantileParams(400)).collect()
 

@@ -28,6 +28,8 @@ def test_a_misspelt_parameter_is_refused_with_a_hint():
         lambda: P.DriftParams(P.PAGE_HINKLEY, target=1.0),
         lambda: P.DriftParams(threshold=0),
         lambda: P.QuantileParams(10, 1.0),
+        lambda: P.QuantileParams(10, range=(2.0, 1.0)),
+        lambda: P.QuantileParams(10, strict=True, range=(1e-300, 1e300)),
         lambda: P.CountMinParams(10, w=500),
         lambda: P.ReservoirParams(0, 1.0),
     ],
@@ -41,3 +43,8 @@ def test_sizes_that_follow_from_accuracy():
     assert P.CountMinParams.with_accuracy(10).w == 512 and P.CountMinParams.with_accuracy(10).d == 5
     assert P.HeavyKeeperParams.with_accuracy(10, 0.001).w == 1000
     assert P.HistogramParams(1000, 0.01).per_level == 51
+
+
+def test_describe_tells_what_follows():
+    told = P.describe(P.DistinctParams(10))
+    assert told["window"] == 10 and told["registers"] == 1024 and told["standard_error"] == pytest.approx(0.0325)
