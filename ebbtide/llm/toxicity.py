@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,9 +111,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 16_000, max_words
     told = by_word.withColumn("g", term(k, c * p) + term(c - k, c * (1 - p)) + term(F.lit(float(ones)) - k, (n - c) * p) + term(F.lit(float(n - ones)) - c + k, (n - c) * (1 - p)))
     best = told.orderBy(F.col("word").isin(identity).desc(), F.desc("g"), "word").limit(max_words).select("word").collect()
     index = {r["word"]: i for i, r in enumerate(best)}
-    kept = found.select("y", F.filter("words", lambda w: w.isin(list(index)) if index else F.lit(False)).alias("words")).collect()
-    own = [np.array(sorted(index[w] for w in r["words"]), int) for r in kept]
-    weights, bias = train(own, np.array([r["y"] for r in kept], float), len(index), counterfactuals(own, index, terms), fairness=fairness)
+    names = list(index)
+    kept = found.select("y", F.filter("words", lambda w: w.isin(names) if names else F.lit(False)).alias("words")).toArrow()
+    lists = pa.concat_arrays(kept.column("words").chunks)
+    flat = pc.index_in(lists.flatten(), value_set=pa.array(names, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    own = [np.sort(x) for x in np.split(flat, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))[:-1])]
+    weights, bias = train(own, kept.column("y").to_numpy().astype(float), len(index), counterfactuals(own, index, terms), fairness=fairness)
     return ToxicityModel({w: float(weights[i]) for w, i in index.items() if weights[i]}, float(bias))
 
 
