@@ -33,7 +33,7 @@ GROUP = 1_024  # contexts of one anchor that go to a suffix array together
 BUCKET = 1_000_000  # bytes of a suffix array
 GRAINS = (48, 12, 3, 1)
 BATCH = 1 << 20  # bytes looked at together
-_BITS = np.uint64((1 << 23) - 1)
+_BITS = np.uint64((1 << 23) - 1)  # places that an anchor can have in what is looked at together
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -51,9 +51,14 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_runs(texts: list[bytes], length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Of texts end to end: which text, and the anchor, the first and the last window start of each run, with its hash."""
+    """Of texts end to end: which text, and the anchor, the first and the last window start of each run, with its hash.
+
+    Together they have at most 2^23 bytes: an anchor's place is the low 23 bits of what is compared.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     flat = np.frombuffer(b"".join(texts), np.uint8)
+    if len(flat) > int(_BITS) + 1:
+        raise ValueError(f"{len(flat)} bytes together")
     if len(flat) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
     x8 = eights(flat, anchor)
@@ -96,25 +101,41 @@ def chunks_of(batch: pa.RecordBatch, size: int = BATCH):
 
 def pieces_of_long(data: bytes, length: int, size: int = 4 * BATCH) -> list[tuple[int, bytes]]:
     """A very long text in pieces that share length - 1 bytes: every window is in exactly one."""
+    size = min(size, int(_BITS) + 2 - length)
     return [(at, data[at : at + size + length - 1]) for at in range(0, max(len(data) - length + 1, 1), size)]
 
 
+def looked_at_together(parts: list[tuple], limit: int = int(_BITS) + 1):
+    """Parts (the last column: their bytes) in order, in lists of up to ``limit`` bytes; no part alone has more."""
+    own: list[tuple] = []
+    total = 0
+    for part in parts:
+        if own and total + len(part[-1]) > limit:
+            yield own
+            own, total = [], 0
+        own.append(part)
+        total += len(part[-1])
+    if own:
+        yield own
+
+
 def _contexts(length: int, anchor: int):
     """(doc, th, a, lo, hi, akey, c1, c2) for each run of windows."""
 
     def run(batches):
         for batch in batches:
             for group in chunks_of(batch):
-                parts = [(doc, th, at, part) for doc, th, data in group for at, part in pieces_of_long(data, length)]
-                text, a, lo, hi, h = anchored_runs([p[3] for p in parts], length, anchor)
-                flat = b"".join([p[3] for p in parts])
-                begin = np.concatenate([[0], np.cumsum([len(p[3]) for p in parts])])[:-1]
-                shift = (begin - np.array([p[2] for p in parts], np.int64))[text] if len(text) else lo
-                names = [xxhash.xxh3_128_digest(flat[x : y + length], seed=z) for x, y, z in zip(lo.tolist(), hi.tolist(), (a - lo).tolist(), strict=True)]
-                name = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-                docs = pa.array([p[0] for p in parts], pa.int64()).take(pa.array(text))
-                ths = pa.array([p[1] for p in parts], pa.int64()).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([docs, ths, pa.array(a - shift), pa.array(lo - shift), pa.array(hi - shift), pa.array(h.view(np.int64)), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy())], ["doc", "th", "a", "lo", "hi", "akey", "c1", "c2"])
+                every = [(doc, th, at, part) for doc, th, data in group for at, part in pieces_of_long(data, length)]
+                for parts in looked_at_together(every):
+                    text, a, lo, hi, h = anchored_runs([p[3] for p in parts], length, anchor)
+                    flat = b"".join([p[3] for p in parts])
+                    begin = np.concatenate([[0], np.cumsum([len(p[3]) for p in parts])])[:-1]
+                    shift = (begin - np.array([p[2] for p in parts], np.int64))[text] if len(text) else lo
+                    names = [xxhash.xxh3_128_digest(flat[x : y + length], seed=z) for x, y, z in zip(lo.tolist(), hi.tolist(), (a - lo).tolist(), strict=True)]
+                    name = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+                    docs = pa.array([p[0] for p in parts], pa.int64()).take(pa.array(text))
+                    ths = pa.array([p[1] for p in parts], pa.int64()).take(pa.array(text))
+                    yield pa.RecordBatch.from_arrays([docs, ths, pa.array(a - shift), pa.array(lo - shift), pa.array(hi - shift), pa.array(h.view(np.int64)), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy())], ["doc", "th", "a", "lo", "hi", "akey", "c1", "c2"])
 
     return run
 
@@ -280,8 +301,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
     or another; matches never cross texts.  A null text is empty.  Rows that are repeated are texts of their own, so both
     lose what is long enough.  Null doc_ids are ids like others.  A cut may part a character: ``kept`` is bytes.
     """
-    if not 8 <= anchor <= length:
-        raise ValueError("anchor must be from 8 bytes to length")
+    if not 8 <= anchor <= length <= int(_BITS) + 1:
+        raise ValueError("anchor must be from 8 bytes to length, length at most 8 MiB")
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rest = [docs[f"`{c}`"] for c in docs.columns if c != text] or [F.lit(1)]
     slim = docs.select(F.struct(*rest).alias("row"), F.col(doc_id).cast("long").alias("doc"), F.xxhash64(value).alias("th"), value.alias("text"))

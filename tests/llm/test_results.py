@@ -165,6 +165,18 @@ def test_repeats(docs, texts, monkeypatch, group):
     assert got == want and sum(w[1] > 0 for w in want.values()) > 30
 
 
+def test_repeats_past_eight_mebibytes_of_one_text(spark):
+    """Passages at the start, over a piece's edge and past 2^23 bytes, that another text or the same one has elsewhere."""
+    rng = np.random.default_rng(8)
+    long = bytearray(rng.integers(97, 123, 13 << 20, np.uint8).tobytes())
+    one, two, three = (rng.integers(65, 91, 2_000, np.uint8).tobytes() for _ in range(3))
+    for at, passage in ((1_000, one), ((8 << 20) + 5_000, one), (9_500_000, two), (11_000_000, two), ((12 << 20) - 700, three)):
+        long[at : at + 2_000] = passage
+    table = spark.createDataFrame([(1, long.decode()), (2, "0" * 10 + three.decode() + "1" * 10)], "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(table).collect()}
+    assert got == {1: (13 << 20, 10_000, 5), 2: (2_020, 2_000, 1)}
+
+
 def test_a_text_that_repeats_itself(spark):
     unit = hashlib.sha256(b"x").hexdigest() * 2
     table = spark.createDataFrame([(1, unit + "-" + unit), (2, "ab" * 300), (3, "é" * 500)], "doc_id long, text string")
