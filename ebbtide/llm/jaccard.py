@@ -263,13 +263,22 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id
     is one n-gram, and a text without words (or null) links with nothing.  component_id is the smallest doc_id that links
     reach, its own included; a null doc_id counts as none.  Repeated rows are in one component.
     """
+    found = _linked(docs, n, percent, doc_id, text)
+    return found.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+
+
+def _linked(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(doc, th, n, component, first) for every row: ``first`` is the smallest (nameless, doc, th) that links reach.
+
+    th is a hash of the text; component and first are null for a text without words.
+    """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(value).alias("th"), value.alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_tokens(slim, n))
     summary = saved(slim.mapInArrow(_summaries(n, percent, common), "doc long, th long, n long, sid long, keys binary"))
-    sets = saved(summary.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "th")).alias("of"), F.max("n").alias("n")))
+    sets = saved(summary.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc").alias("least"), F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "th")).alias("of"), F.max("n").alias("n")))
     roots = blocks_of(summary)
     members = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()).withColumnsRenamed({"v": "sid", "root": "block"})
     starts = levels(percent)[0]
@@ -291,10 +300,11 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id
         links = links.unionByName(_between_cells(tokens.filter("large").drop("large"), local, links, percent))
     joined = components(links)
     whole = joined.unionByName(joined.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "sid")
-    least = whole.join(sets.select("sid", "least"), "sid")
-    by_root = least.groupBy("root").agg(F.min("least").alias("component"))
-    named = sets.select("sid", "least").join(whole.join(by_root, "root").select("sid", "component"), "sid", "left").select("sid", F.coalesce("component", "least").alias("component"))
-    return summary.select("doc", "n", "sid").join(named, "sid", "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    least = whole.join(sets.select("sid", "least", "of"), "sid")
+    by_root = least.groupBy("root").agg(F.min("least").alias("component"), F.min("of").alias("first"))
+    named = sets.select("sid", "least", "of").join(whole.join(by_root, "root").select("sid", "component", "first"), "sid", "left")
+    named = named.select("sid", F.coalesce("component", "least").alias("component"), F.coalesce("first", "of").alias("first"))
+    return summary.select("doc", "th", "n", "sid").join(named, "sid", "left").drop("sid")
 
 
 def _between_cells(tokens: DataFrame, local: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -334,9 +344,13 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicates_gone(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component stays, that of the smallest doc_id, with all its columns.
 
-    Rows with a null doc_id stay; of rows that repeat a doc_id one stays if they are in one component.
+    Rows with a null doc_id stay.  Of rows that repeat a doc_id one stays in each component whose smallest doc_id that is;
+    a text without words is a component of its own.
     """
-    found = jaccard_components(docs, n=n, percent=percent, doc_id=doc_id, text=text)
-    keep = found.filter(F.col(doc_id) == F.col("component_id")).select(doc_id).distinct()
-    staying = docs.join(keep, doc_id, "left_semi").dropDuplicates([doc_id])
+    found = _linked(docs, n, percent, doc_id, text)
+    is_first = F.col("first").isNull() | ((F.col("first.doc") == F.col("doc")) & (F.col("first.th") == F.col("th")))
+    keep = found.filter(F.col("doc").isNotNull() & is_first).select("doc", "th").distinct()
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    slim = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc"), F.xxhash64(value).alias("th"))
+    staying = slim.join(keep, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("row.*")
     return staying.unionByName(docs.filter(F.col(doc_id).isNull())).select(docs.columns)

@@ -74,6 +74,16 @@ def test_jaccard(docs, none):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7, 8, 9]
 
 
+def test_near_duplicates_of_rows_that_repeat_a_doc_id(spark):
+    """Different texts of one doc_id are documents of their own; a copy of a smaller doc_id goes, not its namesake."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    table = docs_of(spark, [(5, t, "en", "a") for t in (a, b, c, c)] + [(2, a, "en", "a"), (9, d, "en", "a"), (9, "...", "en", "a"), (9, d + " more", "en", "a"), (None, c, "en", "a")])
+    kept = jaccard.near_duplicates_gone(table)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == table.columns and len(got) == 6
+    assert {(2, a), (5, b), (5, c), (9, "..."), (None, c)} < set(got) and {t for i, t in got if i == 9} - {"..."} < {d, d + " more"}
+
+
 def test_sharding(docs, none):
     found = sharding.shard_rows(docs, 3).collect()
     sizes = sorted(sum(r.shard == s for r in found) for s in range(3))
