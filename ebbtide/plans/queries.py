@@ -132,9 +132,19 @@ def scm_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scm_conservative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates of the ten smallest keys by cells that are raised no further than needed, by event type."""
+    """Estimates of every key of a group by cells that are raised no further than needed, by event type."""
     rows = events(spark, sf_dir, "event_type")
-    return fold_groups(rows, lambda: ConservativeCountMin(CELLS), lambda s, e: s.add(e.t, e.key, e.weight), lambda s: [(k, int(s.estimate(k)), int(s.total())) for k in range(1, 11)], "key long, estimate long, total long", ("t", "seq", "key", "weight"))
+
+    def add(state, event):
+        cells, seen = state
+        cells.add(event.t, event.key, event.weight)
+        seen.add(int(event.key))
+
+    def read(state):
+        cells, seen = state
+        return [(k, int(cells.estimate(k)), int(cells.total())) for k in sorted(seen)]
+
+    return fold_groups(rows, lambda: (ConservativeCountMin(CELLS), set()), add, read, "key long, estimate long, total long", ("t", "seq", "key", "weight"))
 
 
 def shll_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,9 +177,20 @@ def hk_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hk_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of every key of a group, by event type."""
     params = HeavyKeeperParams.with_accuracy(10, 0.001)
     rows = events(spark, sf_dir, "event_type")
-    return fold_groups(rows, lambda: HeavyKeeper(params), lambda s, e: s.add(e.key, e.weight), lambda s: [(k, s.estimate(k)) for k in range(1, 21)], "key long, estimate long", ("t", "seq", "key", "weight"))
+
+    def add(state, event):
+        heavy, seen = state
+        heavy.add(event.key, event.weight)
+        seen.add(int(event.key))
+
+    def read(state):
+        heavy, seen = state
+        return [(k, heavy.estimate(k)) for k in sorted(seen)]
+
+    return fold_groups(rows, lambda: (HeavyKeeper(params), set()), add, read, "key long, estimate long", ("t", "seq", "key", "weight"))
 
 
 def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from ebbtide.plans.registry import FLAGSHIP, ORACLES, QUERIES
+from ebbtide.sources.events import events
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,6 +32,13 @@ def test_query(spark, sql, name):
         assert name in ("adwin_drift",) or got
 
 
+@pytest.mark.parametrize("name", ["scm_conservative", "hk_estimate"])
+def test_every_key_of_a_group_has_its_estimate(spark, name):
+    rows = events(spark, DATA, "event_type").select("grp", "key").distinct().collect()
+    got = [(r.grp, r.key) for r in QUERIES[name](spark, DATA).collect()]
+    assert sorted(got) == sorted((r.grp, r.key) for r in rows)
+
+
 def test_the_entry_module_names_every_query():
     import __spark_entry__ as entry
 
