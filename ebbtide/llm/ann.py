@@ -5,7 +5,8 @@ A query scans the candidates of a probed list block by block; after each block t
 hypothesis test gives up those that would, but for a small chance, end beyond the query's kth distance.  What survives
 all blocks is measured on the original vectors in double precision.
 
-The best of a bounded sample, measured in full, give each query its first kth distance and its first results.
+Those of a bounded sample that are in a query's probed lists give it its first kth distance.  Results come from the lists
+only; a query that finds fewer than k there scans all lists, without a test.
 
 Lists have centroids from k-means on a bounded sample; every vector is indexed.  Large lists are cut into blocks, equal
 vectors are one point with its smallest ids, and queries are dealt to parts, so no task grows with a list or a copy.
@@ -26,7 +27,8 @@ TRAIN = 12_000  # vectors that the centroids are fitted on
 LISTS = 1_024  # most lists
 COLUMNS = 16  # dimensions of a column block
 TEST = 2.1  # standard errors at which the test gives a candidate up
-PROBE = 0.55  # share of the lists that a query probes
+PROBE = 0.55  # share of the lists that a query probes, when they are many
+FEW = 0.75  # that more of the square root of the number of lists: few lists part neighbours more often
 
 
 def rotation(d: int, seed: int = 5) -> np.ndarray:
@@ -67,7 +69,7 @@ def scan(query: np.ndarray, columns: list[np.ndarray], limit: float, test: float
 def nearest_found(df: DataFrame, is_query, k: int, *, probe: float = PROBE, test: float = TEST, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query among all other rows, by Euclidean distance.
 
-    ``probe`` is the share of lists probed: the vectors here have no clusters, so recall 0.9 takes half of them; clustered
+    ``probe`` is the share of lists probed, to which ``FEW`` adds for few lists: the vectors here have no clusters, so recall 0.9 takes half of them; clustered
     vectors need far less.  Which vectors take part: see ``vectors``; zero vectors don't.  Fewer than k others found
     give them all; ties go to the smaller id; a row that is repeated counts once.
     """
@@ -75,9 +77,9 @@ def nearest_found(df: DataFrame, is_query, k: int, *, probe: float = PROBE, test
     points = saved(distinct(found, k + 1))
     asked = saved(found.filter(is_query(F.col("id"))).distinct())
     n, n_asked = points.count(), asked.count()
-    sample, sample_ids = sampled(points, TRAIN)
+    sample, _ = sampled(points, TRAIN)
     lists = max(1, min(LISTS, int(np.sqrt(n)), len(sample)))
-    probes = max(1, int(np.ceil(probe * lists)))
+    probes = min(lists, max(1, int(np.ceil(probe * lists + FEW * np.sqrt(lists)))))
     turn = rotation(sample.shape[1]) if len(sample) else np.zeros((0, 0))
     middle = centroids(sample, lists) if len(sample) else sample
     half = (middle**2).sum(axis=1) / 2
@@ -92,49 +94,59 @@ def nearest_found(df: DataFrame, is_query, k: int, *, probe: float = PROBE, test
     first, each, _ = parts({r[0]: r[1] for r in celled.groupBy("cell").count().collect()}, BLOCK)
     query_parts = max(1, -(-n_asked * probes // (QUERIES * lists)))
 
-    def to_blocks(batches):
-        for batch in batches:
-            own = as_rows([b for (b,) in rows(batch.select(["blob"]))])
-            near = np.argsort(half - own @ middle.T, axis=1, kind="stable")[:, :probes] if len(own) else []
-            blocks = [[b for c in row if c < len(each) for b in range(first[c], first[c] + each[c])] for row in near]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, pa.list_(pa.int32()))], ["id", "blob", "blocks"])
+    def nearest_lists(own: np.ndarray, n_lists: int) -> np.ndarray:
+        return np.argsort(half - own @ middle.T, axis=1, kind="stable")[:, :n_lists]
+
+    def dealt(queries: DataFrame, n_lists: int) -> DataFrame:
+        def to_blocks(batches):
+            for batch in batches:
+                own = as_rows([b for (b,) in rows(batch.select(["blob"]))])
+                near = nearest_lists(own, n_lists) if len(own) else []
+                blocks = [[b for c in row if c < len(each) for b in range(first[c], first[c] + each[c])] for row in near]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, pa.list_(pa.int32()))], ["id", "blob", "blocks"])
+
+        return queries.mapInArrow(to_blocks, "id long, blob binary, blocks array<int>").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(query_parts)).cast("int"))
 
     at = lambda x: F.element_at(F.array(*[F.lit(i) for i in x or [0]]), F.col("cell") + 1)
     placed = celled.select("blob", "ids", (at(first) + F.pmod(F.xxhash64("blob"), at(each))).cast("int").alias("block"), F.lit(query_parts).alias("parts"))
-    dealt = asked.mapInArrow(to_blocks, "id long, blob binary, blocks array<int>").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(query_parts)).cast("int"))
-    seeds, seed_ids = sample[:SAMPLE], sample_ids[:SAMPLE]
-
-    def of_sample(batches):
-        """The best k of the sample, measured in full: a query never finds fewer than there are."""
-        for batch in batches:
+    seeds = sample[:SAMPLE]
+    seed_list = np.argmax(seeds @ middle.T - half, axis=1) if len(seeds) else np.zeros(0, int)
+
+    def bounds(queries: np.ndarray) -> np.ndarray:
+        """The squared distance of each query's kth other seed in its probed lists; infinite when they hold fewer."""
+        if len(seeds) <= k:
+            return np.full(len(queries), np.inf)
+        probed = np.zeros((len(queries), lists), bool)
+        np.put_along_axis(probed, nearest_lists(queries, probes), True, axis=1)
+        apart = (queries**2).sum(axis=1)[:, None] + (seeds**2).sum(axis=1) - 2 * queries @ seeds.T
+        apart[~probed[:, seed_list]] = np.inf
+        return np.maximum(np.partition(apart, k, axis=1)[:, k], 0) * (1 + 1e-9) + 1e-12
+
+    def searching(bounded: bool):
+        def run(q: pa.Table, p: pa.Table) -> pa.Table:
+            queries, own = as_rows(q.column("blob").to_pylist()), q.column("id").to_pylist()
+            x, ids = as_rows(p.column("blob").to_pylist()), p.column("ids").to_pylist()
             out: list[tuple[int, int, float]] = []
-            for name, blob in rows(batch):
-                apart = np.sqrt(((seeds - np.frombuffer(blob)) ** 2).sum(axis=1))
-                near = np.argsort(apart, kind="stable")[: k + 1].tolist()
-                out += [(name, v, s) for s, v in sorted((float(apart[j]), v) for j in near for v in seed_ids[j] if v != name)[:k]]
-            yield from hits([x[0] for x in out], [x[1] for x in out], [x[2] for x in out]).to_batches()
-
-    known = asked.mapInArrow(of_sample, "query_id long, vec_id long, score double")
-
-    def run(q: pa.Table, p: pa.Table) -> pa.Table:
-        queries, own = as_rows(q.column("blob").to_pylist()), q.column("id").to_pylist()
-        x, ids = as_rows(p.column("blob").to_pylist()), p.column("ids").to_pylist()
-        out: list[tuple[int, int, float]] = []
-        if len(queries) and len(x):
-            turned, columns = queries @ turn, (x @ turn).T
-            columns = [np.ascontiguousarray(columns[i : i + COLUMNS]) for i in range(0, len(columns), COLUMNS)]
-            limits = np.full(len(queries), np.inf)
-            if len(seeds) > k:
-                apart = (queries**2).sum(axis=1)[:, None] + (seeds**2).sum(axis=1) - 2 * queries @ seeds.T
-                limits = np.maximum(np.partition(apart, k, axis=1)[:, k], 0) * (1 + 1e-9) + 1e-12
-            for i, name in enumerate(own):
-                alive = scan(turned[i], columns, limits[i], test)
-                apart = np.sqrt(((x[alive] - queries[i]) ** 2).sum(axis=1))
-                best = sorted((s, v) for s, j in zip(apart.tolist(), alive.tolist(), strict=True) for v in ids[j] if v != name)[:k]
-                out += [(name, v, s) for s, v in best]
-        return hits([x[0] for x in out], [x[1] for x in out], [x[2] for x in out])
-
-    return meet(dealt, placed, run, k, [F.asc("score")], known)
+            if len(queries) and len(x):
+                turned, columns = queries @ turn, (x @ turn).T
+                columns = [np.ascontiguousarray(columns[i : i + COLUMNS]) for i in range(0, len(columns), COLUMNS)]
+                limits = bounds(queries) if bounded else np.full(len(queries), np.inf)
+                for i, name in enumerate(own):
+                    alive = scan(turned[i], columns, limits[i], test)
+                    apart = np.sqrt(((x[alive] - queries[i]) ** 2).sum(axis=1))
+                    best = sorted((s, v) for s, j in zip(apart.tolist(), alive.tolist(), strict=True) for v in ids[j] if v != name)[:k]
+                    out += [(name, v, s) for s, v in best]
+            return hits([x[0] for x in out], [x[1] for x in out], [x[2] for x in out])
+
+        return run
+
+    near = saved(meet(dealt(asked, probes), placed, searching(True), k, [F.asc("score")]))
+    done = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = saved(asked.join(done, "id", "left_anti"))
+    if short.isEmpty():
+        return near
+    again = meet(dealt(short, lists), placed, searching(False), k, [F.asc("score")])
+    return near.join(done.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(again.columns).unionByName(again)
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,6 +220,19 @@ def test_cover_tree_search_is_exact_and_prunes_clusters(monkeypatch):
     assert done < 0.5 * leaves(covertree.cover_tree(x[q])) * leaves(covertree.cover_tree(x))
 
 
+def test_nearest_found_are_those_of_the_probed_lists(spark):
+    """A bounded sample adds nothing: few probes find less, enough find 0.9 of a small table, each query k."""
+    x = np.random.default_rng(6).standard_normal((1_000, 32))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    recalls = []
+    for probe in (0.01, ann.PROBE):
+        found = ann.nearest_found(table, lambda i: i % 10 == 0, 10, probe=probe).collect()
+        assert len(found) == 1_000
+        want = {q: {i for i in np.argsort(((x - x[q]) ** 2).sum(axis=1)).tolist()[:11] if i != q} for q in range(0, 1_000, 10)}
+        recalls.append(sum(r.vec_id in want[r.query_id] for r in found) / 1_000)
+    assert recalls[0] < 0.8 and recalls[1] >= 0.9, recalls
+
+
 def test_nearest_found(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((4000, 24)) + rng.integers(-2, 3, (4000, 1))
