@@ -5,11 +5,13 @@ their rows, deleting documents takes them away, and a key's reference count and
 from the rows, so every decision can be undone.  Cuckoo filters, one for each shard of the keys, hold the keys with two
 references or more; they are small, so they go to where the rows are and spare the lines that only one document holds
 the shuffle to the counts.  What passes a filter is looked up in the exact counts: a false positive costs time, never a
-line.  Filters are sent only up to ``FILTER_BYTES``; beyond it all lines take the exact way.
+line.  Filters are sent in turns of up to ``FILTER_BYTES``, each to the rows of its shards.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -95,26 +97,36 @@ class LineIndex:
         """The lines to drop: doc, k1, k2 with another, smaller document as keeper."""
         spark = self.references.sparkSession
         shared = saved(self.counts().filter("refs >= 2").select("k1", "k2", "keeper"))
-        n_keys, rows = shared.count(), self.references
-        if n_keys * 2 * 5 <= FILTER_BYTES:  # 16 bits a slot, two fifths of which are full at least; one growth more is rare
-            blobs = {r["shard"]: bytes(r["blob"]) for r in self.filters(shared, n_keys).collect()}
-            sent, shards = spark.sparkContext.broadcast(blobs), filter_shards(n_keys)
-
-            def maybe(batches):
-                known = {s: CuckooFilter.load(b) for s, b in sent.value.items()}
-                for batch in batches:
-                    k1, k2 = (batch.column(i).to_numpy() for i in (1, 2))
-                    passes = np.zeros(len(k1), bool)
-                    shard = k2 % shards
-                    for s, own in known.items():
-                        at = np.flatnonzero(shard == s)
-                        passes[at] = own.contains(k1[at])
-                    yield batch.filter(pa.array(passes))
-
-            rows = rows.select("doc", "k1", "k2").mapInArrow(maybe, "doc long, k1 long, k2 long")
+        n_keys = shared.count()
+        shards = filter_shards(n_keys)
+        turn = max(1, FILTER_BYTES // (10 * SHARD_KEYS))  # 16 bits a slot, two fifths of which are full at least; one growth more is rare
+        references, passed = self.references.select("doc", "k1", "k2"), []
+        for at in range(0, shards, turn):
+            own = F.pmod("k2", F.lit(shards)).between(at, at + turn - 1)
+            keys, rows = (shared.filter(own), references.filter(own)) if shards > turn else (shared, references)
+            blobs = {r["shard"]: bytes(r["blob"]) for r in self.filters(keys, n_keys).collect()}
+            passed.append(rows.mapInArrow(_maybe(spark.sparkContext.broadcast(blobs), shards), "doc long, k1 long, k2 long"))
+        rows = reduce(DataFrame.unionByName, passed)
         return rows.join(shared, ["k1", "k2"]).filter("doc > keeper").select("doc", "k1", "k2")
 
 
+def _maybe(sent, shards: int):
+    """The references whose key passes its shard's filter."""
+
+    def run(batches):
+        known = {s: CuckooFilter.load(b) for s, b in sent.value.items()}
+        for batch in batches:
+            k1, k2 = (batch.column(i).to_numpy() for i in (1, 2))
+            passes = np.zeros(len(k1), bool)
+            shard = k2 % shards
+            for s, own in known.items():
+                at = np.flatnonzero(shard == s)
+                passes[at] = own.contains(k1[at])
+            yield batch.filter(pa.array(passes))
+
+    return run
+
+
 def filter_shards(n_keys: int) -> int:
     return max(1, -(-n_keys // SHARD_KEYS))
 

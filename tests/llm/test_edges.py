@@ -121,6 +121,18 @@ def test_line_dedup(docs, none):
     assert cut.columns == docs.columns and cut.count() == docs.count() and line_dedup.deduped(none).count() == 0
 
 
+def test_line_dedup_filters_at_any_size(spark, monkeypatch):
+    """Filters of more bytes than are sent at once go in turns, and the drops are the same."""
+    table = docs_of(spark, [(i, "\n".join(f"line number {j}" for j in range(i, 200, i)), "en", "a") for i in range(1, 60)])
+    index = line_dedup.LineIndex.of(table)
+    want = sorted(map(tuple, index.drops().collect()))
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 400)
+    drops = index.drops()
+    assert drops._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") > 1
+    assert want and sorted(map(tuple, drops.collect())) == want
+
+
 def test_repeats(docs, none):
     found = [(r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect()]
     n = len(LONG)
