@@ -25,7 +25,7 @@ from .tokens import encoder
 CAPACITY = 4096
 END = 1
 STEPS = 200
-SHARES = (1.0, 0.5, 0.0)  # of the fitted counts, tried in this order
+SHARES = (1.0, 0.5)  # of the fitted counts, tried in this order
 MIDDLES = 48  # lengths that stand in the middle of a pattern of three
 
 
@@ -91,7 +91,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     """Intervals (length, lo, hi, first sequence, offset) that place every piece, and the number of sequences.
 
     Patterns that use up the very lengths that would fill gaps can cost more than they save, so their counts are tried
-    whole and in part, and the plan of fewest sequences stands; one that wastes less than a sequence stands at once.
+    whole and by half, and the plan of fewest sequences stands; one that wastes less than a sequence stands at once.
     """
     wanted = {k: int(n) for k, n in histogram.items() if n > 0}
     if any(not 1 <= k <= capacity for k in wanted):

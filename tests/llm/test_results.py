@@ -336,6 +336,13 @@ def test_packing_is_a_round_trip_and_tight(docs, texts):
     assert len(by) <= 1.05 * sum(r.length for r in found) / 256 + 1
 
 
+def test_plans_always_have_the_fitted_counts(monkeypatch):
+    tried, planned = [], packing._planned
+    monkeypatch.setattr(packing, "_planned", lambda *x: tried.append(x[-1]) or planned(*x))
+    packing.plan({2100: 9, 3000: 5, 1096: 5})
+    assert len(tried) == 2 and all(times.any() for times in tried)
+
+
 def test_plans_are_near_the_least():
     rng = np.random.default_rng(9)
     for n in (1, 50, 5000):
