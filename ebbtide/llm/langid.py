@@ -4,21 +4,22 @@ A word that the model knows adds its log frequency in each language.  An unseen
 and the mean log frequencies of those that are known count; if none is, the next shorter n-grams are tried, down to
 single letters.  A word of which nothing is known adds nothing.  The text's language is that of the largest sum.
 
-The model is fitted on at most ``max_docs`` labelled rows, chosen by a hash of their id, and keeps at most
-``max_words`` words and ``max_grams`` n-grams, so that its size is bounded whatever the corpus; it is sent to the
-executors once.  Every text is scored whole.
+The model is fitted on at most about ``max_docs`` labelled rows, chosen by a hash and shared out evenly among the languages,
+so that a rare one isn't starved by a frequent one.  It keeps every word and n-gram that these rows hold, so its size is
+bounded by theirs whatever the corpus; it is sent to the executors once.  Every text is scored whole.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, held_out, saved
+from .common import documents, held_out, saved
 from .words import rows, words_of
 
 LONGEST = 5
@@ -64,19 +65,20 @@ class LanguageModel:
         self.scores = np.zeros((0, len(langs)))
 
     @classmethod
-    def of(cls, counts: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]) -> LanguageModel:
+    def of(cls, counts: Iterable[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]) -> LanguageModel:
+        """Of (lang, n, gram, count), and the total of each language and n."""
         langs = sorted({lang for lang, n in totals if n == 0})
         column = {lang: i for i, lang in enumerate(langs)}
         tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        cells: list[list[tuple[int, int, int]]] = [[] for _ in tables]
+        cells = [([], [], []) for _ in tables]
         for lang, n, gram, c in counts:
-            cells[n].append((tables[n].setdefault(gram, len(tables[n])), column[lang], c))
+            for own, x in zip(cells[n], (tables[n].setdefault(gram, len(tables[n])), column[lang], c), strict=True):
+                own.append(x)
         logs = []
-        for n, own in enumerate(cells):
-            total = np.array([max(totals.get((lang, n), 1), 1) for lang in langs], float)
+        for n, (row, lang, c) in enumerate(cells):
+            total = np.array([max(totals.get((name, n), 1), 1) for name in langs], float)
             seen = np.full((len(tables[n]), len(langs)), 0.1)  # what a gram that a language lacks counts as
-            for i, j, c in own:
-                seen[i, j] = c
+            seen[row, lang] = c
             logs.append(np.log(seen / total) if langs else seen)
         return cls(langs, tables, logs)
 
@@ -111,24 +113,40 @@ class LanguageModel:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def fit(docs: DataFrame, *, max_docs: int = 8_000, max_words: int = 120_000, max_grams: int = 120_000, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> LanguageModel:
-    """Learn from the rows of ``docs`` with a language.  The caller leaves out what is held out.
+def shares(counts: dict[str, int], bound: int) -> dict[str, float]:
+    """The part of each language's rows to take: those of the rare ones whole, an equal number of the others', ``bound`` in all."""
+    found, left = {}, bound
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        own = min(n, left // (len(counts) - i))
+        found[lang] = own / n
+        left -= own
+    return found
 
-    No row with a language gives a model that answers ``und``.
+
+def fit(docs: DataFrame, *, max_docs: int = 8_000, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> LanguageModel:
+    """Learn from about ``max_docs`` rows of ``docs`` with a language.  The caller leaves out what is held out.
+
+    A row whose text and language another has too counts once, whatever their ids.  Null doc_ids are ids like others.  No row
+    with a language gives a model that answers ``und``.
     """
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    chosen = bounded_sample(labelled, F.col(doc_id), max_docs).select(F.col(lang).cast("string"), F.col(text).cast("string"))
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.col(doc_id).cast("string").alias("id"))
+    part = shares({r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}, max_docs)  # a row a language
+    if not part:
+        return LanguageModel.of((), {})
+    width = 1 << 30
+    upto = F.element_at(F.create_map(*[F.lit(x) for name, share in part.items() for x in (name, int(width * share))]), F.col("lang"))
+    chosen = labelled.filter(F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(width)) < upto).select("lang", "text").distinct()
     counts = saved(chosen.mapInArrow(_count, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")))
     totals = {(r[0], r[1]): r[2] for r in counts.groupBy("lang", "n").agg(F.sum("count")).collect()}
-    words = counts.filter("n = 0 AND count >= 2").orderBy(F.desc("count"), "gram", "lang").limit(max_words)
-    grams = counts.filter("n > 0 AND count >= 2").orderBy(F.desc("count"), "gram", "lang").limit(max_grams)
-    return LanguageModel.of([tuple(r) for part in (words, grams) for r in part.collect()], totals)
+    table = counts.toArrow()
+    return LanguageModel.of((row for batch in table.to_batches() for row in rows(batch, 10_000)), totals)
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
     """The columns of ``docs`` as _doc (a struct, without the text), lang_pred and score.
 
-    ``und`` with score 0 for null texts and texts without a letter; a tie goes to the first language by name.
+    ``und`` with score 0 for null texts and texts without a letter; a tie goes to the first language by name.  Each row has
+    its result, repeated rows and those with a null doc_id too.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text] or [F.lit(1)]).alias("_doc"), F.col(text).cast("string").alias("_text"))

@@ -2,24 +2,29 @@
 
 A logistic regression over the presence of words.  Beside the loss on the labels it pays for every change of a
 sentence's score when an identity term in it is swapped for another term of the same set, so a neutral mention of a
-group neither raises nor lowers a score.  A share of the weights is pulled to zero exactly (L1), so long clean texts
-don't add up to a toxic one.
+group neither raises nor lowers a score.  Weights are pulled to zero (L1) by as much as one document can pull them away, so
+what a word does in a single document is no evidence and long clean texts don't add up to a toxic one.
 
-It is fitted on at most ``max_docs`` labelled rows, chosen by a hash of their id, with at most ``max_words`` words,
-so the fit runs in bounded memory on the driver; every text is scored whole on the executors.
+It is fitted on at most about ``max_docs`` labelled documents, chosen by a hash of their id, with every word of theirs and
+every identity term, on the driver; every text is scored whole on the executors.
 """
 
 from __future__ import annotations
 
+import logging
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, held_out, saved
+from .common import bounded_sample, documents, held_out
 from .words import rows, words_of
 
+log = logging.getLogger(__name__)
+
 #: Terms of one set can stand for each other in a sentence.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys"),
@@ -30,13 +35,30 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("gay", "straight", "lesbian", "bisexual", "heterosexual"),
     ("old", "young", "elderly"),
     ("deaf", "blind", "disabled"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
 )
 THRESHOLD = 0.3
 
 
+def term_sets(table: DataFrame) -> tuple[tuple[str, ...], ...]:
+    """Identity terms from a table of (set, term), lowered; rows with a null don't count.  It is collected: a list of terms."""
+    found = defaultdict(set)
+    for name, term in table.select(*[F.col(c).cast("string") for c in table.columns[:2]]).collect():
+        if name is not None and term is not None:
+            found[name].add(term.lower())
+    return tuple(tuple(sorted(found[name])) for name in sorted(found))
+
+
 class ToxicityModel:
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    """Weights of words, a bias, and how many counterfactual pairs the fit has paid for."""
+
+    def __init__(self, weights: dict[str, float], bias: float, pairs: int = 0):
+        self.weights, self.bias, self.pairs = weights, bias, pairs
 
     def score(self, text: str | None) -> float:
         if np.isneginf(self.bias):
@@ -48,18 +70,22 @@ class ToxicityModel:
 
 def counterfactuals(docs: list[np.ndarray], index: dict[str, int], terms: tuple[tuple[str, ...], ...]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (word in a sentence, word that it is swapped for), once for each sentence and other term of its set."""
-    sets = [[index[t] for t in own if t in index] for own in terms]
-    of = {i: own for own in sets for i in own}
+    sets = [sorted({index[t] for t in own if t in index}) for own in terms]
+    of: dict[int, set[int]] = defaultdict(set)
+    for own in sets:
+        for i in own:
+            of[i].update(own)
     known = np.array(sorted(of), int)
-    pairs = [(i, j) for d in docs for i in np.intersect1d(d, known).tolist() for j in of[i] if j != i and j not in d]
+    pairs = [(i, j) for d in docs for i in np.intersect1d(d, known).tolist() for j in sorted(of[i] - set(d.tolist()))]
     found = np.array(pairs, int).reshape(-1, 2)
     return found[:, 0], found[:, 1]
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, n_words: int, swaps: tuple[np.ndarray, np.ndarray], *, fairness: float = 1.0, l1: float = 2e-5, l2: float = 1e-5, steps: int = 300) -> tuple[np.ndarray, float]:
+def train(docs: list[np.ndarray], labels: np.ndarray, n_words: int, swaps: tuple[np.ndarray, np.ndarray], *, fairness: float = 1.0, l1: float = 1.0, l2: float = 1e-5, steps: int = 200) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise mean log loss + fairness * mean squared change of score + l1 + l2.
 
-    A document is the sorted array of its words.  Accelerated proximal gradients; each weight has a step of its own.
+    A document is the sorted array of its words; ``l1`` counts documents.  Accelerated proximal gradients; each weight has a
+    step of its own.
     """
     flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -76,7 +102,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, n_words: int, swaps: tuple
         gap = (v[swaps[0]] - v[swaps[1]]) * 2 * fairness / m
         slope = np.bincount(flat, off[row], n_words) + l2 * v + np.bincount(swaps[0], gap, n_words) - np.bincount(swaps[1], gap, n_words)
         new = v - step * slope
-        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+        new = np.sign(new) * np.maximum(np.abs(new) - step * l1 / n, 0)
         new_b = c - bias_step * off.sum()
         t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         v, c = new + (was - 1) / t * (new - w), new_b + (was - 1) / t * (new_b - b)
@@ -90,38 +116,39 @@ def _distinct_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.list_(pa.string()))], ["id", "y", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 16_000, max_words: int = 4_000, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, fairness: float = 1.0, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
-    """Learn from the rows of ``labels`` that have a label and a document.  The caller leaves out what is held out.
+def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 16_000, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, fairness: float = 1.0, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
+    """Learn from about ``max_docs`` rows of ``labels`` that have a label and a document.  The caller leaves out what is held out.
 
-    Words are chosen by how much they tell of the label (likelihood ratio), identity terms always.  Without a labelled
-    document the model gives every text 0.
+    Rows with a null id teach nothing.  Of rows that repeat an id the largest label and the smallest text count.  Without a
+    labelled document, or without a toxic one, the model gives every text 0.  Sentences without a term of ``terms`` have no
+    counterfactual; the model's ``pairs`` tells how many there were.
     """
     marked = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), (F.col(label) > 0).cast("int").alias("y"))
     chosen = bounded_sample(marked, F.col("id"), max_docs).groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    joined = texts.join(F.broadcast(chosen), "id").select("id", "y", "text")  # max_docs rows at most
-    found = saved(joined.mapInArrow(_distinct_words, "id long, y int, words array<string>"))
-    n, ones = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not n or not ones:
+    joined = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))  # about max_docs rows
+    kept = joined.mapInArrow(_distinct_words, "id long, y int, words array<string>").toArrow().sort_by("id")
+    labelled = kept.column("y").to_numpy().astype(float)
+    if not labelled.any():
         return ToxicityModel({}, -np.inf)
-    by_word = found.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("y").cast("double").alias("k")).filter("c >= 3")
-    identity = [t for own in terms for t in own]
-    term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    k, c, p = F.col("k"), F.col("c"), ones / n
-    told = by_word.withColumn("g", term(k, c * p) + term(c - k, c * (1 - p)) + term(F.lit(float(ones)) - k, (n - c) * p) + term(F.lit(float(n - ones)) - c + k, (n - c) * (1 - p)))
-    best = told.orderBy(F.col("word").isin(identity).desc(), F.desc("g"), "word").limit(max_words).select("word").collect()
-    index = {r["word"]: i for i, r in enumerate(best)}
-    names = list(index)
-    kept = found.select("y", F.filter("words", lambda w: w.isin(names) if names else F.lit(False)).alias("words")).toArrow()
-    lists = pa.concat_arrays(kept.column("words").chunks)
-    flat = pc.index_in(lists.flatten(), value_set=pa.array(names, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
-    own = [np.sort(x) for x in np.split(flat, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))[:-1])]
-    weights, bias = train(own, kept.column("y").to_numpy().astype(float), len(index), counterfactuals(own, index, terms), fairness=fairness)
-    return ToxicityModel({w: float(weights[i]) for w, i in index.items() if weights[i]}, float(bias))
+    lists = kept.column("words").combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    flat = lists.flatten()
+    held = pc.value_counts(flat)  # a word of one document alone has the weight 0 in any case, see train
+    names = sorted({*pc.filter(held.field("values"), pc.greater(held.field("counts"), 1)).to_pylist(), *(t for own in terms for t in own)})
+    at = pc.fill_null(pc.index_in(flat, value_set=pa.array(names, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    own = [np.sort(x[x >= 0]) for x in np.split(at, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))[:-1])]
+    swaps = counterfactuals(own, {w: i for i, w in enumerate(names)}, terms)
+    log.log(logging.INFO if len(swaps[0]) else logging.WARNING, "%d counterfactual pairs in %d labelled documents", len(swaps[0]), len(own))
+    weights, bias = train(own, labelled, len(names), swaps, fairness=fairness)
+    return ToxicityModel({w: float(weights[i]) for i, w in enumerate(names) if weights[i]}, float(bias), len(swaps[0]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> DataFrame:
-    """``docs`` with a last column _score from 0 to 1; null and empty texts have the score of no words."""
+    """``docs`` as _doc with a last column _score from 0 to 1; null and empty texts have the score of no words.
+
+    Each row has its score, repeated rows and those with a null doc_id too.  No rows give no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     slim = docs.select(F.struct(*[docs[f"`{c}`"].cast("string").alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns]).alias("_doc"))
