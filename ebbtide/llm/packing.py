@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences, planned on the histogram of lengths.
 
-Lengths are at most the capacity, so the histogram has at most that many bins, whatever the corpus.  Patterns of one to
-three lengths that fill a sequence exactly are fitted to it by non-negative least squares; their counts are rounded
-down, and what is left is packed by best fit, longest first, a whole run of equal sequences at a time.  The plan is a
-list of intervals: of the pieces of one length, those numbered from ``lo`` to ``hi`` start at ``offset`` in the
+Lengths are at most the capacity, so the histogram has at most that many bins, whatever the corpus.  All patterns of one to
+three lengths that fill a sequence, wholly or but for a few tokens, are fitted to it by non-negative least squares.  The fit is
+repeated on those patterns that the one before uses most for each longest length, so that few of them share the counts and
+rounding down loses little; what is left is packed by best fit, longest first, a whole run of equal sequences at a time.
+The plan is a list of intervals: of the pieces of one length, those numbered from ``lo`` to ``hi`` start at ``offset`` in the
 sequences from ``first`` on.  Each piece finds its interval by its number among the pieces of its length, which is a
 cell's offset plus a rank inside that cell, so that no task gathers a length.
 """
@@ -24,9 +25,9 @@ from .tokens import encoder
 
 CAPACITY = 4096
 END = 1
-STEPS = 200
+SLACKS = (1 << 30, 512)  # a pattern wastes at most the capacity divided by this: nothing, or a few tokens
+FITS = ((40, 12), (80, 3), (200, 3))  # steps of a fit, and the patterns of each longest length that go on to the next
 SHARES = (1.0, 0.5)  # of the fitted counts, tried in this order
-MIDDLES = 48  # lengths that stand in the middle of a pattern of three
 
 
 def cut_pieces(capacity: int, path: str | None, with_ids: bool):
@@ -50,48 +51,60 @@ def cut_pieces(capacity: int, path: str | None, with_ids: bool):
     return run
 
 
-def patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows of three bins (-1: none) whose lengths fill the capacity exactly."""
-    bin_of = np.full(capacity + 1, -1)
-    bin_of[lengths] = np.arange(len(lengths))
-    found = [np.array([[bin_of[capacity], -1, -1]])] if bin_of[capacity] >= 0 else []
-    rest = capacity - lengths
-    pair = (rest > 0) & (lengths >= rest) & (bin_of[np.maximum(rest, 0)] >= 0)
-    found.append(np.stack([np.flatnonzero(pair), bin_of[rest[pair]], np.full(pair.sum(), -1)], axis=1))
-    share = np.cumsum(counts) / max(counts.sum(), 1)
-    for m in np.unique(np.searchsorted(share, np.linspace(0.02, 0.98, MIDDLES)).clip(0, len(lengths) - 1)):
-        left = capacity - lengths - lengths[m]
-        good = (left > 0) & (left <= lengths) & (bin_of[left.clip(0)] >= 0)
-        found.append(np.stack([np.flatnonzero(good), np.full(good.sum(), m), bin_of[left[good]]], axis=1))
-    return np.concatenate(found).astype(np.int64)
+def patterns(lengths: np.ndarray, capacity: int, slack: int) -> np.ndarray:
+    """All rows of one to three bins (-1: none), longest first, that end with the longest that fits and waste ``slack`` at most."""
+    below = np.searchsorted(lengths, np.arange(capacity + 1), side="right") - 1  # the longest bin that isn't longer, -1 if none
+    single = np.flatnonzero(capacity - lengths <= slack)
+    found = [np.stack([single, np.full(len(single), -1), np.full(len(single), -1)], axis=1)]
+    for a in range(len(lengths)):
+        b = np.arange(min(a, below[capacity - lengths[a]]) + 1)
+        rest = capacity - lengths[a] - lengths[b]
+        c = np.minimum(below[rest], b)
+        good = rest - np.where(c >= 0, lengths[c], 0) <= slack
+        if good.any():
+            found.append(np.stack([np.full(good.sum(), a), b[good], c[good]], axis=1))
+    return np.concatenate(found).astype(np.int32)
 
 
-def nonnegative_least_squares(columns: np.ndarray, target: np.ndarray, steps: int = STEPS) -> np.ndarray:
+def nonnegative_least_squares(columns: np.ndarray, target: np.ndarray, steps: int) -> np.ndarray:
     """x >= 0 that brings the patterns' use of each bin near ``target``, by accelerated projected gradients."""
-    used = columns >= 0
-    bins = np.where(used, columns, len(target))
     n = len(target) + 1
+    bins = [np.where(own >= 0, own, len(target)).astype(np.int32) for own in columns.T]  # the last bin stands for none
     goal = np.append(target.astype(float), 0.0)
-    degree = np.bincount(bins.ravel(), minlength=n).astype(float)
-    step = 1.0 / np.maximum((degree[bins] * used).sum(axis=1), 1.0)  # a diagonal that majorises A'A
+    degree = sum(np.bincount(own, minlength=n) for own in bins).astype(float)
+    degree[-1] = 0
+    step = 1.0 / np.maximum(sum(degree[own] for own in bins), 1.0)  # a diagonal that majorises A'A
     x = np.zeros(len(columns))
     y, t = x, 1.0
     for _ in range(steps):
-        use = np.bincount(bins.ravel(), np.repeat(y, 3), n)
-        slope = ((use - goal)[bins] * used).sum(axis=1)
-        new = np.maximum(y - step * slope, 0.0)
+        off = sum(np.bincount(own, y, n) for own in bins) - goal
+        off[-1] = 0
+        new = np.maximum(y - step * sum(off[own] for own in bins), 0.0)
         t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        y = new + (was - 1) / t * (new - x)
-        y = np.maximum(y, 0.0)
+        y = np.maximum(new + (was - 1) / t * (new - x), 0.0)
         x = new
     return x
 
 
+def fitted(columns: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few of the patterns, and how often each is to be used."""
+    times = np.zeros(0)
+    for steps, keep in FITS:
+        times = nonnegative_least_squares(columns, target, steps)
+        order = np.lexsort((-times, columns[:, 0]))
+        first = columns[order, 0]
+        strong = np.arange(len(order)) - np.searchsorted(first, first) < keep
+        best = np.sort(order[strong & (times[order] > 0)])
+        columns, times = columns[best], times[best]
+    return columns, times
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Intervals (length, lo, hi, first sequence, offset) that place every piece, and the number of sequences.
 
-    Patterns that use up the very lengths that would fill gaps can cost more than they save, so their counts are tried
-    whole and by half, and the plan of fewest sequences stands; one that wastes less than a sequence stands at once.
+    Patterns that use up the very lengths that would fill gaps can cost more than they save, so plans with whole and with
+    half the fitted counts, of patterns that waste nothing or little, are tried, and the one of fewest sequences stands; one
+    that wastes less than a sequence stands at once.
     """
     wanted = {k: int(n) for k, n in histogram.items() if n > 0}
     if any(not 1 <= k <= capacity for k in wanted):
@@ -99,16 +112,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     if not wanted:
         return [], 0
     lengths = np.array(sorted(wanted))
-    columns = patterns(lengths, np.array([wanted[k] for k in lengths]), capacity)
-    times = nonnegative_least_squares(columns, np.array([wanted[k] for k in lengths]))
     least = -(-sum(k * n for k, n in wanted.items()) // capacity)
     best = None
-    for share in SHARES:
-        found = _planned(wanted, capacity, lengths, columns, times * share)
-        if best is None or found[1] < best[1]:
-            best = found
-        if best[1] == least:
-            break
+    for slack in SLACKS:
+        columns, times = fitted(patterns(lengths, capacity, capacity // slack), np.array([wanted[k] for k in lengths]))
+        for share in SHARES:
+            found = _planned(wanted, capacity, lengths, columns, times * share)
+            if best is None or found[1] < best[1]:
+                best = found
+            if best[1] == least:
+                return best
     return best
 
 
