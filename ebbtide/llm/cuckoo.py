@@ -82,13 +82,21 @@ class CuckooFilter:
         return (self.table[bucket] == mark[:, None]).any(axis=1) | (self.table[self._other(mark, bucket)] == mark[:, None]).any(axis=1)
 
     def delete(self, keys: np.ndarray) -> None:
-        """Take one copy of each key's fingerprint out."""
-        for mark, bucket in zip(*self._places(keys), strict=True):
-            for b in (bucket, int(self._other(np.array([mark]), np.array([bucket]))[0])):
-                at = np.flatnonzero(self.table[b] == mark)
-                if len(at):
-                    self.table[b, at[0]] = 0
-                    break
+        """Take one copy of each key's fingerprint out; a key that isn't in changes nothing or takes out its double."""
+        mark, bucket = self._places(keys)
+        while len(mark):
+            other = self._other(mark, bucket)
+            here = self.table[bucket] == mark[:, None]
+            at = np.where(here.any(axis=1), bucket, other)
+            there = self.table[at] == mark[:, None]
+            held = there.any(axis=1)
+            cell = at * SLOTS + np.argmax(there, axis=1)
+            cells, first = np.unique(np.where(held, cell, -1 - np.arange(len(cell))), return_index=True)  # one key a cell and turn
+            own = first[cells >= 0]
+            self.table.reshape(-1)[cell[own]] = 0
+            left = held.copy()
+            left[own] = False
+            mark, bucket = mark[left], bucket[left]
 
     def dump(self) -> bytes:
         return self.table.tobytes()

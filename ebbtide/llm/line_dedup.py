@@ -3,9 +3,13 @@
 The reference table has a row for each pair of a line's key and a document that holds it.  Inserting documents adds
 their rows, deleting documents takes them away, and a key's reference count and its keeper (the smallest doc_id) follow
 from the rows, so every decision can be undone.  Cuckoo filters, one for each shard of the keys, hold the keys with two
-references or more; they are small, so they go to where the rows are and spare the lines that only one document holds
-the shuffle to the counts.  What passes a filter is looked up in the exact counts: a false positive costs time, never a
-line.  Filters are sent in turns of up to ``FILTER_BYTES``, each to the rows of its shards.
+references or more: a key that an insertion brings to its second reference goes in, one that a deletion leaves with a
+single one is taken out.  Filters are small, so they go to where the rows are and spare the lines that only one document
+holds the shuffle to the counts.  What passes a filter is looked up in the exact counts: a false positive costs time, never
+a line.
+
+A shard is a range of keys, and the files of references are sorted by key.  Filters are sent in turns of up to
+``FILTER_BYTES``, and a turn reads only the pages of its range: all turns together read the table about once.
 """
 
 from __future__ import annotations
@@ -55,62 +59,132 @@ def _references(least: int):
     return run
 
 
+REFERENCE = ["k1", "k2", "doc"]
+FILTER = "shard long, blob binary"
+
+
 class LineIndex:
-    """The reference table of a corpus: (k1, k2, doc), each pair once."""
+    """The reference table of a corpus (k1, k2, doc, each once), the exact counts of the keys that are shared, their filters.
+
+    An index is not changed: insertions and deletions give a new one, with the counts and filters that they touch replaced.
+    """
 
-    def __init__(self, references: DataFrame, least: int = 10):
-        self.references, self.least = references, least
+    def __init__(self, references: DataFrame, shared: DataFrame, filters: DataFrame, bits: int, least: int = 10):
+        self.references, self.shared, self.filters, self.bits, self.least = references, shared, filters, bits, least
 
     @classmethod
     def of(cls, docs: DataFrame, least: int = 10, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
-        slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-        pairs = slim.mapInArrow(_references(least), "doc long, k1 long, k2 long").distinct()
-        return cls(saved(pairs), least)
+        references = saved(_pairs(docs, least, doc_id, text).distinct().sortWithinPartitions("k2"))
+        shared = saved(_counts(references).filter("refs >= 2"))
+        bits = shard_bits(shared.count())
+        return cls(references, shared, _built(shared, bits), bits, least)
 
-    def insert(self, docs: DataFrame, **columns: str) -> LineIndex:
+    def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
         """With more documents.  Documents that are in already change nothing."""
-        more = LineIndex.of(docs, self.least, **columns)
-        return LineIndex(saved(self.references.unionByName(more.references).distinct()), self.least)
+        fresh = saved(_pairs(docs, self.least, doc_id, text).distinct().join(self.references, REFERENCE, "left_anti"))
+        return self._with(self.references.unionByName(fresh), fresh)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents in the first column of ``doc_ids``."""
-        gone = doc_ids.select(F.col(doc_ids.columns[0]).cast("long").alias("doc")).distinct()
-        return LineIndex(saved(self.references.join(gone, "doc", "left_anti")), self.least)
+        ids = doc_ids.select(F.col(doc_ids.columns[0]).cast("long").alias("doc")).distinct()
+        gone = saved(self.references.join(ids, "doc", "left_semi").select(*REFERENCE))
+        return self._with(self.references.join(ids, "doc", "left_anti").select(*REFERENCE), gone)
+
+    def _with(self, references: DataFrame, moved: DataFrame) -> LineIndex:
+        """Counts and filters follow the keys of the references that have come or gone: ``moved``."""
+        references, key = saved(references.sortWithinPartitions("k2")), ["k1", "k2"]
+        touched = saved(moved.select(*key).distinct())
+        now = saved(_counts(references.join(touched, key, "left_semi")).filter("refs >= 2"))
+        was = self.shared.join(touched, key, "left_semi")
+        shared = saved(self.shared.join(touched, key, "left_anti").unionByName(now))
+        if shard_bits(shared.count()) > self.bits + 1:
+            bits = shard_bits(shared.count())
+            return LineIndex(references, shared, _built(shared, bits), bits, self.least)
+        filters = _changed(self.filters, now.join(was, key, "left_anti"), was.join(now, key, "left_anti"), self.bits)
+        full = filters.filter("blob IS NULL").select("shard")
+        if not full.isEmpty():
+            keys = shared.withColumn("shard", shard_of(F.col("k2"), self.bits)).join(full, "shard", "left_semi")
+            filters = saved(filters.filter("blob IS NOT NULL").unionByName(_built(keys, self.bits)))
+        return LineIndex(references, shared, filters, self.bits, self.least)
 
     def counts(self) -> DataFrame:
         """The exact reference counts: k1, k2, refs, keeper."""
-        return self.references.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("refs"), F.min("doc").alias("keeper"))
-
-    def filters(self, shared: DataFrame, n_keys: int) -> DataFrame:
-        """The shards' filters over the keys of ``shared``: shard, blob."""
-        shards = filter_shards(n_keys)
-
-        def build(key, pdf):
-            import pandas as pd
-
-            own = CuckooFilter.holding(pdf["k1"].to_numpy())
-            return pd.DataFrame({"shard": [key[0]], "blob": [own.dump()]})
-
-        return shared.select(F.pmod("k2", F.lit(shards)).alias("shard"), "k1").groupBy("shard").applyInPandas(build, "shard long, blob binary")
+        return _counts(self.references)
 
     def drops(self) -> DataFrame:
         """The lines to drop: doc, k1, k2 with another, smaller document as keeper."""
         spark = self.references.sparkSession
-        shared = saved(self.counts().filter("refs >= 2").select("k1", "k2", "keeper"))
-        n_keys = shared.count()
-        shards = filter_shards(n_keys)
-        turn = max(1, FILTER_BYTES // (10 * SHARD_KEYS))  # 16 bits a slot, two fifths of which are full at least; one growth more is rare
-        references, passed = self.references.select("doc", "k1", "k2"), []
-        for at in range(0, shards, turn):
-            own = F.pmod("k2", F.lit(shards)).between(at, at + turn - 1)
-            keys, rows = (shared.filter(own), references.filter(own)) if shards > turn else (shared, references)
-            blobs = {r["shard"]: bytes(r["blob"]) for r in self.filters(keys, n_keys).collect()}
-            passed.append(rows.mapInArrow(_maybe(spark.sparkContext.broadcast(blobs), shards), "doc long, k1 long, k2 long"))
+        turns = max(1, -(-self.filters.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0] // FILTER_BYTES))
+        turn_bits = min(self.bits, (turns - 1).bit_length())
+        passed = []
+        for turn in range(1 << turn_bits):
+            rows, own = self.references.select("doc", "k1", "k2"), self.filters
+            if turn_bits:
+                low = (turn << (64 - turn_bits)) - (1 << 63 if turn >= 1 << (turn_bits - 1) else 0) * 2
+                rows = rows.filter(F.col("k2").between(low, low + (1 << (64 - turn_bits)) - 1))
+                own = own.filter(F.shiftright("shard", self.bits - turn_bits) == turn)
+            blobs = {r["shard"]: bytes(r["blob"]) for r in own.collect()}
+            passed.append(rows.mapInArrow(_maybe(spark.sparkContext.broadcast(blobs), self.bits), "doc long, k1 long, k2 long"))
         rows = reduce(DataFrame.unionByName, passed)
-        return rows.join(shared, ["k1", "k2"]).filter("doc > keeper").select("doc", "k1", "k2")
+        return rows.join(self.shared, ["k1", "k2"]).filter("doc > keeper").select("doc", "k1", "k2")
+
+
+def _pairs(docs: DataFrame, least: int, doc_id: str, text: str) -> DataFrame:
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    return slim.mapInArrow(_references(least), "doc long, k1 long, k2 long").select(*REFERENCE)
+
+
+def _counts(references: DataFrame) -> DataFrame:
+    return references.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("refs"), F.min("doc").alias("keeper"))
+
+
+def shard_bits(n_keys: int) -> int:
+    """The bits of a key that name its shard."""
+    return max(0, (max(n_keys, 1) - 1) // SHARD_KEYS).bit_length()
 
 
-def _maybe(sent, shards: int):
+def shard_of(k2, bits: int):
+    """The first bits of a key, of a column or an array."""
+    if isinstance(k2, np.ndarray):
+        return (k2.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k2), np.int64)
+    return F.shiftrightunsigned(k2, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def _blob(shard: int, held: CuckooFilter | None) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int64()), "blob": pa.array([held and held.dump()], pa.binary())})
+
+
+def _built(shared: DataFrame, bits: int) -> DataFrame:
+    """The filters of all keys of ``shared``."""
+
+    def run(keys: pa.Table) -> pa.Table:
+        return _blob(keys.column("shard")[0].as_py(), CuckooFilter.holding(keys.column("k1").to_numpy()))
+
+    return saved(shared.select(shard_of(F.col("k2"), bits).alias("shard"), "k1").groupBy("shard").applyInArrow(run, FILTER))
+
+
+def _changed(filters: DataFrame, came: DataFrame, left: DataFrame, bits: int) -> DataFrame:
+    """The filters after deletions and insertions; one that has no room for all has a null blob."""
+
+    def run(own: pa.Table, moved: pa.Table) -> pa.Table:
+        shard = (own if own.num_rows else moved).column("shard")[0].as_py()
+        k1, is_new = moved.column("k1").to_numpy(), moved.column("is_new").to_numpy(zero_copy_only=False).astype(bool)
+        if not own.num_rows:
+            return _blob(shard, CuckooFilter.holding(k1[is_new]))
+        held = CuckooFilter.load(own.column("blob")[0].as_py())
+        held.delete(k1[~is_new])
+        try:
+            held.insert(k1[is_new])
+        except OverflowError:
+            held = None
+        return _blob(shard, held)
+
+    moved = came.select("k1", "k2", F.lit(True).alias("is_new")).unionByName(left.select("k1", "k2", F.lit(False).alias("is_new")))
+    placed = moved.select(shard_of(F.col("k2"), bits).alias("shard"), "k1", "is_new")
+    return saved(filters.groupBy("shard").cogroup(placed.groupBy("shard")).applyInArrow(run, FILTER))
+
+
+def _maybe(sent, bits: int):
     """The references whose key passes its shard's filter."""
 
     def run(batches):
@@ -118,19 +192,16 @@ def _maybe(sent, shards: int):
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy() for i in (1, 2))
             passes = np.zeros(len(k1), bool)
-            shard = k2 % shards
-            for s, own in known.items():
-                at = np.flatnonzero(shard == s)
-                passes[at] = own.contains(k1[at])
+            shard = shard_of(k2, bits)
+            for s in np.unique(shard).tolist():
+                if s in known:
+                    at = np.flatnonzero(shard == s)
+                    passes[at] = known[s].contains(k1[at])
             yield batch.filter(pa.array(passes))
 
     return run
 
 
-def filter_shards(n_keys: int) -> int:
-    return max(1, -(-n_keys // SHARD_KEYS))
-
-
 def _cut(least: int):
     def run(batches):
         for batch in batches:

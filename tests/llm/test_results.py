@@ -132,6 +132,26 @@ def test_line_index_is_reversible(docs):
     assert key(both.delete(high.select("doc_id"))) == key(first)
 
 
+def test_filters_follow_insertions_and_deletions(docs, monkeypatch):
+    """No step builds a filter anew unless it is full, and after each the drops are those of an index of what is left."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    low, high = docs.filter("doc_id < 100"), docs.filter("doc_id >= 100")
+    drops = lambda index: sorted(map(tuple, index.drops().collect()))
+    first, whole = line_dedup.LineIndex.of(low), line_dedup.LineIndex.of(docs)
+    both = first.insert(high)
+    built = []
+    monkeypatch.setattr(line_dedup, "_built", lambda *x: built.append(x))
+    back = both.delete(high.select("doc_id"))
+    assert not built and drops(back) == drops(first) and drops(both) == drops(whole) != drops(first)
+    for index in (both, back):
+        keys = index.shared.collect()
+        filters = {r.shard: CuckooFilter.load(bytes(r.blob)) for r in index.filters.collect()}
+        assert sum(int((f.table != 0).sum()) for f in filters.values()) == len(keys)
+        for r in keys:
+            shard = int(line_dedup.shard_of(np.array([r.k2]), index.bits)[0])
+            assert filters[shard].contains(np.array([r.k1])).all()
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(4)
     keys = rng.integers(-(2**63), 2**63 - 1, 50_000)
