@@ -5,8 +5,9 @@ slots and every shard has ``vnodes`` virtual nodes on it.  A row goes to the nex
 full shard cannot take continue clockwise to the next shard with room.
 
 Rows of one slot are interchangeable for the loads, so the overflow is settled on the slots' counts (``2**ring_bits``
-numbers, whatever the input) and each row finds its shard by its position in its slot.  No task gathers a slot: a
-position is a cell's offset plus a rank inside that cell, and a hot text is spread over many cells.
+numbers, whatever the input) and each row finds its shard by its position in its slot.  Positions go by the hash of the
+text, so equal texts are side by side and only one that the end of a shard falls into is parted.  No task gathers a slot: a
+position is a cell's offset plus a rank inside that cell, and a hot text has cells of its own.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import bisect
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, positions, salts_for, saved
+from .common import documents, positions, saved
 
 RING_BITS = 12
 VNODES = 64
+CELL = 250_000  # rows of a cell, on average at most
 
 
 def _mix(x: int) -> int:
@@ -49,7 +51,8 @@ def capacities(total: int, shards: int, load: float) -> list[int]:
 def allocate(counts: dict[int, int], nodes: list[tuple[int, int]], room: list[int]) -> list[tuple[int, int, int, int, int]]:
     """Segments (slot, from, to, shard, first place in the shard) that hold each slot's rows.
 
-    First every slot fills its own shard, in clockwise order; then what is over moves on clockwise.
+    First every slot goes whole to its own shard, in clockwise order, if there is room; then those that are over go whole to
+    the next shard clockwise that has room for them; what fits nowhere whole is parted, clockwise again.
     """
     places, room, taken = [p for p, _ in nodes], list(room), [0] * len(room)
     segments, over = [], []
@@ -64,11 +67,20 @@ def allocate(counts: dict[int, int], nodes: list[tuple[int, int]], room: list[in
 
     for slot in sorted(counts):
         at = bisect.bisect_left(places, slot) % len(nodes)
-        start = put(slot, 0, counts[slot], nodes[at][1])
-        if start < counts[slot]:
-            over.append((slot, start, at))
-    for slot, start, at in over:
-        for step in range(1, len(nodes) + 1):
+        if counts[slot] <= room[nodes[at][1]]:
+            put(slot, 0, counts[slot], nodes[at][1])
+        else:
+            over.append((slot, at))
+    parted = []
+    for slot, at in over:
+        step = next((s for s in range(1, len(nodes)) if counts[slot] <= room[nodes[(at + s) % len(nodes)][1]]), None)
+        if step is None:
+            parted.append((slot, at))
+        else:
+            put(slot, 0, counts[slot], nodes[(at + step) % len(nodes)][1])
+    for slot, at in parted:
+        start = 0
+        for step in range(len(nodes)):
             start = put(slot, start, counts[slot], nodes[(at + step) % len(nodes)][1])
             if start == counts[slot]:
                 break
@@ -93,8 +105,10 @@ def shard_rows(df: DataFrame, shards: int = 16, *, text: str = "text", keep: tup
     total = sum(counts.values())
     segments = allocate(counts, ring(shards, vnodes, ring_bits), capacities(total, shards, load))
     table = spark.createDataFrame(segments, "_slot long, _from long, _to long, _shard int, _first long")
-    cells = slim.withColumn("_part", F.shiftrightunsigned(F.shiftleft(F.col("_hash"), ring_bits), 60)).withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts_for(total))))
-    ranked = positions(cells, ["_slot"], ["_part", "_salt"], ["_hash", *ids], "_at")
+    part_bits = max(4, (total // (CELL << ring_bits)).bit_length())
+    hot = slim.groupBy(F.col("_hash").alias("_hot")).agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_cells")).filter("_cells > 1")  # a row for each CELL rows at most
+    cells = slim.join(hot, F.col("_hash") == F.col("_hot"), "left").withColumns({"_part": F.shiftrightunsigned(F.shiftleft(F.col("_hash"), ring_bits), 64 - part_bits), "_hot": F.coalesce("_hot", F.lit(0)), "_salt": F.pmod(F.xxhash64(*ids), F.coalesce("_cells", F.lit(1)))}).drop("_cells")
+    ranked = positions(cells, ["_slot"], ["_part", "_hot", "_salt"], ["_hash", *ids], "_at")
     found = ranked.join(F.broadcast(table), (ranked["_slot"] == table["_slot"]) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
     return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_shard").alias("shard"), (F.col("_first") + F.col("_at") - F.col("_from")).alias("slot"))
 
