@@ -5,11 +5,13 @@ A query scans the candidates of a probed list block by block; after each block t
 hypothesis test gives up those that would, but for a small chance, end beyond the query's kth distance.  What survives
 all blocks is measured on the original vectors in double precision.
 
-Those of a bounded sample that are in a query's probed lists give it its first kth distance.  Results come from the lists
-only; a query that finds fewer than k there scans all lists, without a test.
+Those of a bounded sample that are in a query's probed lists give it its first kth distance, which every run of candidates
+that it scans may lower.  A probed list whose radius keeps all of it beyond that distance is left out before anything is
+shipped to it.  Results come from the lists only; a query that finds fewer than k there scans all lists, without a test.
 
 Lists have centroids from k-means on a bounded sample; every vector is indexed.  Large lists are cut into blocks, equal
-vectors are one point with its smallest ids, and queries are dealt to parts, so no task grows with a list or a copy.
+vectors are one point with its smallest ids, and queries are dealt to parts by their nearest list, so no task grows with a
+list or a copy.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved
-from .vectors import BLOCK, QUERIES, SAMPLE, as_rows, distinct, hits, meet, parts, sampled, vectors
+from .vectors import BLOCK, QUERIES, SAMPLE, as_rows, cells_of, distinct, hits, in_cells, meet, parts, placed_in, runs, sampled, vectors
 from .words import rows
 
 TRAIN = 12_000  # vectors that the centroids are fitted on
@@ -28,6 +30,7 @@ LISTS = 1_024  # most lists
 COLUMNS = 16  # dimensions of a column block
 TEST = 2.1  # standard errors at which the test gives a candidate up
 PROBE = 0.55  # share of the lists that a query probes, when they are many
+SCAN = 1_024  # candidates that are scanned before the kth distance is taken anew
 FEW = 0.75  # that more of the square root of the number of lists: few lists part neighbours more often
 
 
@@ -66,6 +69,13 @@ def scan(query: np.ndarray, columns: list[np.ndarray], limit: float, test: float
     return alive
 
 
+def within_reach(queries: np.ndarray, limit: np.ndarray, middle: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """For each query the lists that may hold a vector within its squared distance ``limit``."""
+    apart = (queries**2).sum(axis=1)[:, None] + (middle**2).sum(axis=1) - 2 * queries @ middle.T
+    least = np.sqrt(np.maximum(apart, 0)) * (1 - 1e-9) - 1e-6 - radius
+    return (least <= np.sqrt(limit)[:, None]) & (radius >= 0)
+
+
 def nearest_found(df: DataFrame, is_query, k: int, *, probe: float = PROBE, test: float = TEST, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query among all other rows, by Euclidean distance.
 
@@ -76,7 +86,7 @@ def nearest_found(df: DataFrame, is_query, k: int, *, probe: float = PROBE, test
     found = vectors(df, None, nonzero=True, vec_id=vec_id, embedding=embedding)
     points = saved(distinct(found, k + 1))
     asked = saved(found.filter(is_query(F.col("id"))).distinct())
-    n, n_asked = points.count(), asked.count()
+    n = points.count()
     sample, _ = sampled(points, TRAIN)
     lists = max(1, min(LISTS, int(np.sqrt(n)), len(sample)))
     probes = min(lists, max(1, int(np.ceil(probe * lists + FEW * np.sqrt(lists)))))
@@ -84,68 +94,63 @@ def nearest_found(df: DataFrame, is_query, k: int, *, probe: float = PROBE, test
     middle = centroids(sample, lists) if len(sample) else sample
     half = (middle**2).sum(axis=1) / 2
 
-    def to_list(batches):
-        for batch in batches:
-            own = as_rows([b for (b,) in rows(batch.select(["blob"]))])
-            cell = np.argmax(own @ middle.T - half, axis=1) if len(own) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32())], ["blob", "ids", "cell"])
-
-    celled = saved(points.mapInArrow(to_list, "blob binary, ids array<long>, cell int"))
-    first, each, _ = parts({r[0]: r[1] for r in celled.groupBy("cell").count().collect()}, BLOCK)
-    query_parts = max(1, -(-n_asked * probes // (QUERIES * lists)))
-
-    def nearest_lists(own: np.ndarray, n_lists: int) -> np.ndarray:
-        return np.argsort(half - own @ middle.T, axis=1, kind="stable")[:, :n_lists]
-
-    def dealt(queries: DataFrame, n_lists: int) -> DataFrame:
-        def to_blocks(batches):
-            for batch in batches:
-                own = as_rows([b for (b,) in rows(batch.select(["blob"]))])
-                near = nearest_lists(own, n_lists) if len(own) else []
-                blocks = [[b for c in row if c < len(each) for b in range(first[c], first[c] + each[c])] for row in near]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, pa.list_(pa.int32()))], ["id", "blob", "blocks"])
-
-        return queries.mapInArrow(to_blocks, "id long, blob binary, blocks array<int>").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(query_parts)).cast("int"))
-
-    at = lambda x: F.element_at(F.array(*[F.lit(i) for i in x or [0]]), F.col("cell") + 1)
-    placed = celled.select("blob", "ids", (at(first) + F.pmod(F.xxhash64("blob"), at(each))).cast("int").alias("block"), F.lit(query_parts).alias("parts"))
+    celled = saved(in_cells(points, middle))
+    counts, radius = cells_of(celled, len(middle))
+    first, each, _ = parts(counts, BLOCK)
+    placed = celled.select("blob", "ids", placed_in(first, each).alias("block"))
+    seated = saved(in_cells(asked, middle))
+    q_first, q_each, _ = runs(cells_of(seated, len(middle))[0], max(1, QUERIES * lists // probes))
     seeds = sample[:SAMPLE]
     seed_list = np.argmax(seeds @ middle.T - half, axis=1) if len(seeds) else np.zeros(0, int)
 
-    def bounds(queries: np.ndarray) -> np.ndarray:
+    def limits(queries: np.ndarray, near: np.ndarray) -> np.ndarray:
         """The squared distance of each query's kth other seed in its probed lists; infinite when they hold fewer."""
         if len(seeds) <= k:
             return np.full(len(queries), np.inf)
         probed = np.zeros((len(queries), lists), bool)
-        np.put_along_axis(probed, nearest_lists(queries, probes), True, axis=1)
+        np.put_along_axis(probed, near, True, axis=1)
         apart = (queries**2).sum(axis=1)[:, None] + (seeds**2).sum(axis=1) - 2 * queries @ seeds.T
         apart[~probed[:, seed_list]] = np.inf
         return np.maximum(np.partition(apart, k, axis=1)[:, k], 0) * (1 + 1e-9) + 1e-12
 
-    def searching(bounded: bool):
-        def run(q: pa.Table, p: pa.Table) -> pa.Table:
-            queries, own = as_rows(q.column("blob").to_pylist()), q.column("id").to_pylist()
-            x, ids = as_rows(p.column("blob").to_pylist()), p.column("ids").to_pylist()
-            out: list[tuple[int, int, float]] = []
-            if len(queries) and len(x):
-                turned, columns = queries @ turn, (x @ turn).T
-                columns = [np.ascontiguousarray(columns[i : i + COLUMNS]) for i in range(0, len(columns), COLUMNS)]
-                limits = bounds(queries) if bounded else np.full(len(queries), np.inf)
-                for i, name in enumerate(own):
-                    alive = scan(turned[i], columns, limits[i], test)
+    def dealt(queries: DataFrame, n_lists: int, bounded: bool) -> DataFrame:
+        def to_blocks(batches):
+            for batch in batches:
+                own = as_rows([b for (b,) in rows(batch.select(["blob"]))])
+                bound, blocks = np.zeros(0), []
+                if len(own):
+                    near = np.argsort(half - own @ middle.T, axis=1, kind="stable")[:, :n_lists]
+                    bound = limits(own, near) if bounded else np.full(len(own), np.inf)
+                    reach = within_reach(own, bound, middle, radius)
+                    blocks = [[b for c in lists_of if row[c] for b in range(first[c], first[c] + each[c])] for lists_of, row in zip(near.tolist(), reach, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("blob"), pa.array(bound, pa.float64()), pa.array(blocks, pa.list_(pa.int32())), batch.column("part")], ["id", "blob", "bound", "blocks", "part"])
+
+        return queries.select("id", "blob", placed_in(q_first, q_each).alias("part")).mapInArrow(to_blocks, "id long, blob binary, bound double, blocks array<int>, part int")
+
+    def run(q: pa.Table, p: pa.Table) -> pa.Table:
+        queries, own, bound = as_rows(q.column("blob").to_pylist()), q.column("id").to_pylist(), q.column("bound").to_pylist()
+        x, ids = as_rows(p.column("blob").to_pylist()), p.column("ids").to_pylist()
+        out: list[tuple[int, int, float]] = []
+        if len(queries) and len(x):
+            turned, dims = queries @ turn, (x @ turn).T
+            pieces = [(at, [np.ascontiguousarray(dims[i : i + COLUMNS, at : at + SCAN]) for i in range(0, len(dims), COLUMNS)]) for at in range(0, len(x), SCAN)]
+            for i, name in enumerate(own):
+                limit, best = bound[i], []
+                for at, columns in pieces:
+                    alive = at + scan(turned[i], columns, limit, test)
                     apart = np.sqrt(((x[alive] - queries[i]) ** 2).sum(axis=1))
-                    best = sorted((s, v) for s, j in zip(apart.tolist(), alive.tolist(), strict=True) for v in ids[j] if v != name)[:k]
-                    out += [(name, v, s) for s, v in best]
-            return hits([x[0] for x in out], [x[1] for x in out], [x[2] for x in out])
-
-        return run
+                    best = sorted([*best, *((s, v) for s, j in zip(apart.tolist(), alive.tolist(), strict=True) for v in ids[j] if v != name)])[:k]
+                    if len(best) == k:
+                        limit = min(limit, best[-1][0] ** 2 * (1 + 1e-9) + 1e-12)
+                out += [(name, v, s) for s, v in best]
+        return hits([x[0] for x in out], [x[1] for x in out], [x[2] for x in out])
 
-    near = saved(meet(dealt(asked, probes), placed, searching(True), k, [F.asc("score")]))
+    near = saved(meet(dealt(seated, probes, True), placed, run, k, [F.asc("score")]))
     done = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
-    short = saved(asked.join(done, "id", "left_anti"))
+    short = saved(seated.join(done, "id", "left_anti"))
     if short.isEmpty():
         return near
-    again = meet(dealt(short, lists), placed, searching(False), k, [F.asc("score")])
+    again = meet(dealt(short, lists, False), placed, run, k, [F.asc("score")])
     return near.join(done.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(again.columns).unionByName(again)
 
 

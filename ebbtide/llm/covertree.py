@@ -6,9 +6,10 @@ pair scores more than ``c.d + r|d| + s|c| + rs``; the pair of nodes is left when
 the query node's group.  Data nodes are taken best bound first.  Ties count by the smaller id, so only smaller scores are
 pruned.
 
-Vectors that are equal are one point with its smallest ids.  Points are dealt to blocks by their nearest pivot (a bounded
-sample), queries to blocks by a hash, and each pair of blocks is one task: no task or driver holds more than two blocks.  A
-bounded sample of points gives each query a first bound, which all its tasks share.
+Vectors that are equal are one point with its smallest ids.  Points and queries are dealt to blocks by their nearest pivot (a
+bounded sample), and each pair of blocks is one task: no task or driver holds more than two blocks.  A bounded sample of
+points gives each query a first bound, which all its tasks share.  The pivots are the top of the data tree: with their
+covering radii, a query leaves out the blocks that can't reach its bound before anything is shipped to them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved
-from .vectors import BLOCK, QUERIES, SAMPLE, as_rows, distinct, hits, meet, parts, sampled, vectors
+from .vectors import BLOCK, QUERIES, SAMPLE, as_rows, cells_of, distinct, hits, in_cells, meet, parts, placed_in, runs, sampled, vectors
 from .words import rows
 
 LEAF = 64
@@ -140,6 +141,13 @@ def floors(queries: np.ndarray, own: np.ndarray, sample: np.ndarray, sample_ids:
     return np.array([at_most(x) for x in scores[:, -(k + 1)]])  # one of the sample may be the query itself
 
 
+def reachable(queries: np.ndarray, bound: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """For each query the cells that may hold a point whose score isn't below its bound."""
+    centre = queries @ pivots.T
+    most = centre + np.sqrt((queries**2).sum(axis=1))[:, None] * radius
+    return (most + 1e-9 * np.abs(most) + 1e-6 >= bound[:, None]) & (radius >= 0)
+
+
 def quantised(x: np.ndarray) -> np.ndarray:
     return np.floor(64 * x)
 
@@ -154,27 +162,29 @@ def top_inner_products(df: DataFrame, is_query, k: int, *, change=quantised, vec
     found = vectors(df, change, nonzero=False, vec_id=vec_id, embedding=embedding)
     points = saved(distinct(found, k + 1))
     asked = saved(found.filter(is_query(F.col("id"))).distinct())
-    n, n_asked = points.count(), asked.count()
+    n = points.count()
     sample, sample_ids = sampled(points, SAMPLE)
     pivots = sample[: max(1, min(PIVOTS, n // BLOCK))]
-    query_parts = max(1, -(-n_asked // QUERIES))
-
-    def nearest(batches):
-        half = (pivots**2).sum(axis=1) / 2
+    celled = saved(in_cells(points, pivots))
+    counts, radius = cells_of(celled, len(pivots))
+    first, each, _ = parts(counts, BLOCK)
+    placed = celled.select("blob", "ids", placed_in(first, each).alias("block"))
+    seated = saved(in_cells(asked, pivots))
+    q_first, q_each, _ = runs(cells_of(seated, len(pivots))[0], QUERIES)
+
+    def to_blocks(batches):
         for batch in batches:
             own = as_rows([b for (b,) in rows(batch.select(["blob"]))])
-            cell = np.argmax(own @ pivots.T - half, axis=1) if len(own) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32())], ["blob", "ids", "cell"])
+            bound = floors(own, batch.column("id").to_numpy(), sample, sample_ids, k)
+            reach = reachable(own, bound, pivots, radius) if len(own) else []
+            blocks = [[b for c in np.flatnonzero(row).tolist() for b in range(first[c], first[c] + each[c])] for row in reach]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("blob"), pa.array(bound, pa.float64()), pa.array(blocks, pa.list_(pa.int32())), batch.column("part")], ["id", "blob", "bound", "blocks", "part"])
 
-    celled = saved(points.mapInArrow(nearest, "blob binary, ids array<long>, cell int"))
-    first, each, blocks = parts({r[0]: r[1] for r in celled.groupBy("cell").count().collect()}, BLOCK)
-    at = lambda x: F.element_at(F.array(*[F.lit(i) for i in x or [0]]), F.col("cell") + 1)
-    placed = celled.select("blob", "ids", (at(first) + F.pmod(F.xxhash64("blob"), at(each))).cast("int").alias("block"), F.lit(query_parts).alias("parts"))
-    dealt = asked.select("id", "blob", F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)).alias("blocks"), F.pmod(F.xxhash64("id"), F.lit(query_parts)).cast("int").alias("part"))
+    dealt = seated.select("id", "blob", placed_in(q_first, q_each).alias("part")).mapInArrow(to_blocks, "id long, blob binary, bound double, blocks array<int>, part int")
 
     def run(q: pa.Table, p: pa.Table) -> pa.Table:
         queries, own = as_rows(q.column("blob").to_pylist()), q.column("id").to_numpy()
-        top = TopK(own, k, floors(queries, own, sample, sample_ids, k))
+        top = TopK(own, k, q.column("bound").to_numpy())
         search(queries, top, as_rows(p.column("blob").to_pylist()), p.column("ids").to_pylist())
         flat = [(int(i), v, max(-LARGEST, min(LARGEST, int(-s)))) for i, best in zip(own, top.best, strict=True) for s, v in best]
         return hits([x[0] for x in flat], [x[1] for x in flat], [x[2] for x in flat], pa.int64())

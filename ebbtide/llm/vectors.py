@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, saved
@@ -69,16 +69,58 @@ def parts(counts: dict[int, int], size: int) -> tuple[list[int], list[int], int]
     return [int(x) for x in first], each, sum(each)
 
 
-def meet(queries: DataFrame, points: DataFrame, search: Callable, k: int, order: list, known: DataFrame | None = None, kind: str = "double") -> DataFrame:
-    """Search every block of points for every block of queries that is to meet it, and keep each query's best k.
+def runs(counts: dict[int, int], size: int) -> tuple[list[int], list[int], int]:
+    """Like ``parts``, but small cells that follow each other share a part of about ``size``."""
+    n = max(counts, default=-1) + 1
+    first, each, at, held = [], [], 0, 0
+    for c in range(n):
+        own = counts.get(c, 0)
+        if held and held + own > size:
+            at, held = at + 1, 0
+        first.append(at)
+        each.append(max(1, -(-own // size)))
+        at, held = (at + each[-1], 0) if own > size else (at, held + own)
+    return first, each, at + 1
+
+
+def placed_in(first: list[int], each: list[int]) -> Column:
+    """The part of a row with columns cell and blob, by ``parts`` or ``runs``."""
+    at = lambda x: F.element_at(F.array(*[F.lit(i) for i in x or [0]]), F.col("cell") + 1)
+    return (at(first) + F.pmod(F.xxhash64("blob"), at([*each] or [1]))).cast("int")
+
+
+def in_cells(df: DataFrame, middle: np.ndarray) -> DataFrame:
+    """``df`` with the nearest row of ``middle`` to its blob as cell, and how far that is."""
+    half, names = (middle**2).sum(axis=1) / 2, df.columns
+
+    def run(batches):
+        for batch in batches:
+            own = as_rows([b for (b,) in rows(batch.select(["blob"]))])
+            cell = np.argmax(own @ middle.T - half, axis=1) if len(own) else np.zeros(0, int)
+            far = np.sqrt(((own - middle[cell]) ** 2).sum(axis=1)) if len(own) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(far, pa.float64())], [*names, "cell", "far"])
+
+    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", cell int, far double")
+
+
+def cells_of(celled: DataFrame, n: int) -> tuple[dict[int, int], np.ndarray]:
+    """How many rows each of ``n`` cells has, and the radius that covers them (-1 if there are none)."""
+    counts, radius = {}, np.full(n, -1.0)
+    for cell, own, far in celled.groupBy("cell").agg(F.count(F.lit(1)), F.max("far")).collect():  # a row a cell
+        counts[cell], radius[cell] = own, far * (1 + 1e-9) + 1e-9
+    return counts, radius
+
+
+def meet(queries: DataFrame, points: DataFrame, search: Callable, k: int, order: list, kind: str = "double") -> DataFrame:
+    """Search every block of points for the queries that are to meet it, and keep each query's best k.
 
-    ``queries``: id, blob, blocks (array of the blocks to meet), part; ``points``: blob, ids, block, parts (how many query
-    parts there are).  ``search`` gets two tables and returns query_id, vec_id, score; ``known`` has such rows already.
+    ``queries``: id, blob, bound, blocks (array of the blocks to meet), part; ``points``: blob, ids, block.  A block goes to the
+    parts of which a query asks for it.  ``search`` gets two tables and returns query_id, vec_id, score.
     """
-    q = queries.select("id", "blob", "part", F.explode("blocks").alias("block"))
-    p = points.select("blob", "ids", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    q = saved(queries).select("id", "blob", "bound", "part", F.explode("blocks").alias("block"))
+    wanted = q.select(F.col("block").alias("to"), F.col("part").alias("seat")).distinct()
+    p = points.join(wanted, F.col("block") == F.col("to")).select("blob", "ids", "block", F.col("seat").alias("part"))
     found = q.groupBy("block", "part").cogroup(p.groupBy("block", "part")).applyInArrow(search, f"query_id long, vec_id long, score {kind}")
-    found = found if known is None else found.unionByName(known)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -439,3 +439,32 @@ def test_the_pipeline_by_hand(spark):
     ends = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
     assert packed.filter("piece = 0").count() == kept.count() and ends <= 4096
     assert pipeline.run(spark, DATA).count() == packed.count()
+
+
+def test_blocks_that_cannot_win_are_not_shipped():
+    """Clustered vectors: queries leave most cells out, and none that holds one of their best."""
+    rng = np.random.default_rng(11)
+    pivots = rng.standard_normal((60, 24)) * 200
+    of = rng.integers(0, 60, 6_000)
+    x = np.floor(pivots[of] + rng.standard_normal((6_000, 24)) * 4)
+    cell = np.argmax(x @ pivots.T - (pivots**2).sum(axis=1) / 2, axis=1)
+    radius = np.array([np.sqrt(((x[cell == c] - pivots[c]) ** 2).sum(axis=1)).max(initial=-1) for c in range(60)])
+    q, sample = x[::20], x[::3]
+    names = [[i] for i in range(0, 6_000, 3)]
+    floor = covertree.floors(q, np.arange(0, 6_000, 20), sample, names, 20)
+    reach = covertree.reachable(q, floor, pivots, radius)
+    limit = np.sort(((q[:, None] - sample[None]) ** 2).sum(axis=2), axis=1)[:, 10]
+    near = ann.within_reach(q, limit, pivots, radius)
+    assert reach.mean() < 0.1 and near.mean() < 0.1
+    for i in range(len(q)):
+        assert reach[i, cell[x @ q[i] >= floor[i]]].all() and near[i, cell[((x - q[i]) ** 2).sum(axis=1) <= limit[i]]].all()
+
+
+def test_cells_share_parts_without_loss():
+    counts = {0: 5, 1: 900, 3: 2_500, 4: 3, 6: 1_000}
+    first, each, n = ann.runs(counts, 1_000)
+    held = Counter()
+    for c, rows in counts.items():
+        for b in range(each[c]):
+            held[first[c] + b] += rows / each[c]
+    assert max(held.values()) <= 1_000 and set(held) <= set(range(n)) and len(first) == 7
