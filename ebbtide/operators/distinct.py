@@ -10,11 +10,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SECOND, lane
 from ..params import DistinctParams
+from .clock import clocks, every_group, inside
 
 
 def leading_zeros(x: Column) -> Column:
@@ -35,10 +36,9 @@ def registers(df: DataFrame, params: DistinctParams, at: int | None = None, sub:
     w = params.window if sub is None else sub
     if not 0 < w <= params.window:
         raise ValueError("a sub-window is above 0 and at most the window")
-    now = F.lit(at) if at is not None else F.max("t").over(Window.partitionBy("grp"))
     index, rank = register(F.col("key"), params)
-    inside = df.withColumn("now", now).filter((F.col("t") > F.col("now") - w) & (F.col("t") <= F.col("now")))
-    return inside.groupBy("grp", index.alias("register")).agg(F.max(rank).alias("rank"))
+    rows, _ = inside(df.select("grp", "t", "key"), w, at)
+    return rows.groupBy("grp", index.alias("register")).agg(F.max(rank).alias("rank"))
 
 
 def _sigma(x: float) -> float:
@@ -78,7 +78,7 @@ def ertl(histogram: np.ndarray, m: int) -> float:
 
 
 def counts(df: DataFrame, params: DistinctParams, at: int | None = None, sub: int | None = None) -> DataFrame:
-    """grp, estimate: the number of distinct keys, rounded; a group without events in the window has none."""
+    """grp, estimate: the number of distinct keys, rounded; 0 for a group without events in the window."""
     m, top = params.registers, 65 - params.p
     bins = registers(df, params, at, sub).groupBy("grp", "rank").agg(F.count(F.lit(1)).alias("n"))
     packed = bins.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("rank", "n"))).alias("h"))  # 66 entries at most
@@ -94,4 +94,5 @@ def counts(df: DataFrame, params: DistinctParams, at: int | None = None, sub: in
             out.append(round(ertl(histogram, m)))
         return pd.Series(out, dtype="int64")
 
-    return packed.select("grp", estimate("h").alias("estimate"))
+    found = packed.select("grp", estimate("h").alias("estimate"))
+    return found if at is None else every_group(clocks(df, at), found, {"estimate": F.lit(0)})

@@ -35,7 +35,15 @@ def _key(key) -> int:
     return int(key)
 
 
-class Clock:
+class Summary:
+    """A state machine, made of its parameters alone."""
+
+    def clear(self) -> None:
+        """Start anew, pseudo-random draws included."""
+        self.__init__(self.params)
+
+
+class Clock(Summary):
     """Time that doesn't run back."""
 
     def __init__(self):
@@ -109,10 +117,9 @@ class ExponentialHistogram(Clock):
         return sum(map(len, self.levels))
 
 
-class Adwin:
+class Adwin(Summary):
     """Mean and variance of the longest recent window whose parts don't differ in mean; tells when it has been cut."""
 
-    PER_LEVEL = 5
     LIMIT = math.sqrt(1.7976931348623157e308) / 2
 
     def __init__(self, params: AdwinParams):
@@ -120,7 +127,7 @@ class Adwin:
         self.centre = 0.0
         # count, sum, sum of squares, min, max of each bucket, oldest first, so levels stand from the highest to level 0;
         # sums are about the centre
-        self.rows = np.zeros((5, 64 * (self.PER_LEVEL + 1)))
+        self.rows = np.zeros((5, params.capacity))
         self.used = 0
         self.levels = [0]  # buckets of each level
 
@@ -129,59 +136,77 @@ class Adwin:
         if not self.used:
             self.centre = x
         y = x - self.centre
-        self.rows[:, self.used] = 1, y, y * y, x, x
+        rows = self.rows
+        rows[:, self.used] = 1, y, y * y, x, x
         self.used += 1
         self.levels[0] += 1
-        end = self.used
-        for i in range(len(self.levels)):
-            at = end - self.levels[i]  # the level's oldest bucket
-            if self.levels[i] <= self.PER_LEVEL:
-                break
-            a, b = self.rows[:, at], self.rows[:, at + 1]
-            a[:3] += b[:3]
-            a[3], a[4] = min(a[3], b[3]), max(a[4], b[4])  # it is the newest of the next level where it stands
-            self.rows[:, at + 1 : self.used - 1] = self.rows[:, at + 2 : self.used]
-            self.used -= 1
-            self.levels[i] -= 2
-            if i + 1 == len(self.levels):
-                self.levels.append(0)
-            self.levels[i + 1] += 1
-            end = at + 1
+        if self.levels[0] > self.params.per_level:
+            self._cascade()
         cut = False
         while self._differs():
             cut = True
-            self.rows[:, : self.used - 1] = self.rows[:, 1 : self.used]
+            rows[:, : self.used - 1] = rows[:, 1 : self.used]
             self.used -= 1
             self.levels[-1] -= 1
             while len(self.levels) > 1 and not self.levels[-1]:
                 self.levels.pop()
         if cut:
-            c, s, q = self.rows[:3, : self.used]
+            c, s, q = rows[:3, : self.used]
             d = s.sum() / c.sum()
             self.centre += d
             q += c * d * d - 2 * d * s
             s -= c * d
         return cut
 
+    def _cascade(self) -> None:
+        """The two oldest buckets of a level that is over become one, which is the newest of the next where it stands."""
+        rows, end = self.rows, self.used
+        for i in range(len(self.levels)):
+            at = end - self.levels[i]  # the level's oldest bucket
+            if self.levels[i] <= self.params.per_level:
+                break
+            a, b = rows[:, at], rows[:, at + 1]
+            a[:3] += b[:3]
+            a[3], a[4] = min(a[3], b[3]), max(a[4], b[4])
+            rows[:, at + 1 : self.used - 1] = rows[:, at + 2 : self.used]
+            self.used -= 1
+            self.levels[i] -= 2
+            if i + 1 == len(self.levels):
+                self.levels.append(0)
+            self.levels[i + 1] += 1
+            end = at + 1
+
     def _totals(self) -> tuple[float, float, float]:
         return tuple(self.rows[:3, : self.used].sum(axis=1).tolist())
 
     def _differs(self) -> bool:
-        if self.used < 2:
+        """Whether any split between buckets parts two means by more than chance.
+
+        Both sides of the test are multiplied by n0 n1 / n.  What a cut would keep is looked at only if the variance alone
+        doesn't rule a cut out.
+        """
+        used = self.used
+        if used < 2:
             return False
-        c, s, _, low, high = self.rows[:, : self.used]
-        n, total, squares = self._totals()
+        n0, s0, squares = self.rows[:3, :used].cumsum(axis=1)
+        n, total = float(n0[-1]), float(s0[-1])
+        mean = total / n
         term = math.log(2 * math.log(n) / self.params.delta)
-        variance = max(squares / n - (total / n) ** 2, 0.0)
-        spread = high[1:].max() - low[1:].min()  # of what a cut would keep
-        n0, s0 = c[:-1].cumsum(), s[:-1].cumsum()
-        inverse = 1 / n0 + 1 / (n - n0)
-        gap = np.abs(s0 / n0 - (total - s0) / (n - n0))
-        return bool((gap > np.sqrt(2 * variance * term * inverse) + 2 / 3 * spread * term * inverse).any())
+        variance = max(float(squares[-1]) / n - mean * mean, 0.0)
+        n0, s0 = n0[:-1], s0[:-1]
+        over = np.abs(s0 - mean * n0) - np.sqrt((n0 - n0 * n0 / n) * (2 * variance * term))
+        most = float(over.max())
+        if most <= 0:
+            return False
+        spread = float(self.rows[4, 1:used].max()) - float(self.rows[3, 1:used].min())
+        return most > 2 / 3 * spread * term
 
     def width(self) -> int:
         return int(self._totals()[0])
 
+    def buckets(self) -> int:
+        return self.used
+
     def mean(self) -> float:
         n, s, _ = self._totals()
         return self.centre + s / n if n else 0.0
@@ -191,12 +216,13 @@ class Adwin:
         return max(q / n - (s / n) ** 2, 0.0) if n else 0.0
 
 
-class DriftDetector:
+class DriftDetector(Summary):
     """Two one-sided cumulative sums over a reference: the running mean (Page-Hinkley) or a target (CUSUM).
 
     A sum gains the deviation less ``delta`` and stays at least 0; above ``threshold`` it fires.  Without a latch a fire
     starts all over.  With one, a shift fires once: the firing sum is held at the threshold until it falls below half of
-    it, which arms the detector again, or until the other sum fires.
+    it, which arms the detector again, or until the other sum fires.  The mean is that of the values since Page-Hinkley's
+    last fire, or since CUSUM last started all over.
     """
 
     LIMIT = 1e150
@@ -204,7 +230,7 @@ class DriftDetector:
     def __init__(self, params: DriftParams):
         self.params = params
         self.seen = 0
-        self.n, self.reference = 0, 0.0
+        self.n, self.running = 0, 0.0
         self.gaps = [0.0, 0.0]  # up, down
         self.latched: int | None = None  # the side that fired
         self.last_index: int | None = None
@@ -214,11 +240,9 @@ class DriftDetector:
         x = float(_number(x, self.LIMIT))
         self.seen += 1
         self.n += 1
-        if self.params.mode == CUSUM:
-            self.reference = self.params.target
-        else:
-            self.reference += (x - self.reference) / self.n
-        away = x - self.reference
+        self.running += (x - self.running) / self.n
+        cusum = self.params.mode == CUSUM
+        away = x - (self.params.target if cusum else self.running)
         self.gaps = [max(0.0, g + sign * away - self.params.delta) for g, sign in zip(self.gaps, (1, -1), strict=True)]
         limit = self.params.threshold
         if self.latched is None:
@@ -229,15 +253,16 @@ class DriftDetector:
             return self._fire(1 - self.latched)
         if self.gaps[self.latched] < limit / 2:
             self.latched, self.gaps = None, [0.0, 0.0]
-            if self.params.mode == CUSUM:
-                self.n = 0
+            if cusum:
+                self.n, self.running = 0, 0.0
         else:
             self.gaps[self.latched] = min(self.gaps[self.latched], limit)
         return False
 
     def _fire(self, side: int) -> bool:
         self.last_index, self.last_direction = self.seen - 1, (1, -1)[side]
-        self.n, self.reference = 0, 0.0
+        if not self.params.latch or self.params.mode != CUSUM:
+            self.n, self.running = 0, 0.0
         if self.params.latch:
             self.latched = side
             self.gaps[side] = self.params.threshold
@@ -246,12 +271,12 @@ class DriftDetector:
         return True
 
     def read(self) -> tuple[float, float, int, float, float]:
-        """(statistic, mean, count, last index, last direction); NaN before the first fire."""
-        nan = float("nan")
-        return max(self.gaps), self.reference, self.n, nan if self.last_index is None else self.last_index, nan if self.last_direction is None else self.last_direction
+        """(statistic, mean, count, last index, last direction); 0 for a count of 0, and NaN before the first fire."""
+        last = [math.nan if x is None else float(x) for x in (self.last_index, self.last_direction)]
+        return max(self.gaps) if self.n else 0.0, self.running if self.n else 0.0, self.n, *last
 
 
-class HeavyKeeper:
+class HeavyKeeper(Summary):
     """The k keys of the most weight: d rows of fingerprints with counts, which other keys' events wear down by chance."""
 
     def __init__(self, params: HeavyKeeperParams):
@@ -308,6 +333,10 @@ class HeavyKeeper:
         mark, cells = self._cells(_key(key))
         return max((int(self.counts[r, c]) for r, c in enumerate(cells) if self.counts[r, c] and int(self.marks[r, c]) == mark), default=0)
 
+    def size(self) -> int:
+        """Leaders held, at most k."""
+        return len(self.leaders)
+
     def top(self) -> list[tuple[int, int]]:
         return sorted(self.leaders.items(), key=lambda x: (-x[1], x[0]))
 
@@ -462,6 +491,9 @@ class SlidingFive(PaneClock):
         super().__init__(window, panes)
         self.held: dict[int, tuple] = {}
 
+    def clear(self) -> None:
+        self.__init__(self.window, self.panes)
+
     def add(self, t, value) -> None:
         value = float(_number(value, self.LIMIT))
         self.move(t, self.held)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timegrid import floored, pane
 from ..params import PaneWindow
+from .clock import clocks, every_group, moved
 
 
 def pane_partials(df: DataFrame, params: PaneWindow, *aggregates: Column, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -27,9 +28,7 @@ def live(partials: DataFrame, params: PaneWindow, at: int | None = None, sub: in
     span = params.window if sub is None else sub
     if not 0 < span <= params.window:
         raise ValueError("a sub-window is above 0 and at most the window")
-    last = F.max("last_t").over(Window.partitionBy("grp"))
-    now = last if at is None else F.when(last <= at, F.lit(at)).otherwise(F.raise_error(F.lit("the clock can't move back")).cast("long"))
-    timed = partials.withColumn("now", now)
+    timed = partials.withColumn("now", moved(F.max("last_t").over(Window.partitionBy("grp")), at))
     return timed.filter(F.col("pane") >= floored((F.col("now") - span) * params.panes, params.window))
 
 
@@ -50,10 +49,9 @@ def snapshot(df: DataFrame, params: PaneWindow, at: int | None = None, sub: int
     found = live(partials, params, at, sub).groupBy("grp").agg(F.max("now").alias("now"), F.sum("n").alias("count"), F.sum("s").alias("sum"), F.min("lo").alias("min"), F.max("hi").alias("max"))
     if at is None:
         return _five(found)
-    groups = partials.groupBy("grp").agg(F.lit(at).cast("long").alias("now"))
-    joined = groups.join(found.drop("now"), "grp", "left")
     nan = F.lit(float("nan"))
-    return _five(joined).select("grp", "now", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("sum", F.lit(0.0)).alias("sum"), *[F.coalesce(c, nan).alias(c) for c in ("min", "max", "mean")])
+    known = every_group(clocks(partials, at, "last_t"), _five(found), {"now": F.lit(at).cast("long"), "count": F.lit(0), "sum": F.lit(0.0), "min": nan, "max": nan, "mean": nan})
+    return known.select("grp", "now", "count", "sum", "min", "max", "mean")
 
 
 def running(df: DataFrame, params: PaneWindow) -> DataFrame:
@@ -61,8 +59,3 @@ def running(df: DataFrame, params: PaneWindow) -> DataFrame:
     span = Window.partitionBy("grp").orderBy("pane").rangeBetween(-params.panes, 0)
     over = five_partials(df, params).select("grp", "pane", F.sum("n").over(span).alias("count"), F.sum("s").over(span).alias("sum"), F.min("lo").over(span).alias("min"), F.max("hi").over(span).alias("max"))
     return _five(over)
-
-
-def by_count(df: DataFrame) -> DataFrame:
-    """The rows with t replaced by 1, 2, 3, ... in the order of (t, seq) of each group: windows of the last N items."""
-    return df.withColumn("t", F.row_number().over(Window.partitionBy("grp").orderBy("t", "seq")).cast("long"))

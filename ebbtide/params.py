@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import math
+import sys
 from dataclasses import dataclass, fields
 
 
@@ -67,11 +68,20 @@ class HistogramParams:
 
 @dataclass(frozen=True)
 class AdwinParams:
+    """``delta``: the confidence of a cut; five buckets a level, of 64 levels."""
+
     delta: float = 0.002
+    per_level = 5
+    levels = 64
 
     def __post_init__(self):
         _need(_finite(self.delta) and 0 < self.delta < 1, "delta must be between 0 and 1")
 
+    @property
+    def capacity(self) -> int:
+        """Buckets at most: a level is over by one while it cascades."""
+        return (self.per_level + 1) * self.levels + 2
+
 
 @dataclass(frozen=True)
 class DecayParams:
@@ -181,6 +191,27 @@ class QuantileParams:
     def gamma(self) -> float:
         return (1 + self.alpha) / (1 - self.alpha)
 
+    @property
+    def keys(self) -> tuple[int, int]:
+        """The least and the largest bin whose value is a normal double, within 32 bits."""
+        value = lambda k: 2 * math.exp(k * math.log(self.gamma)) / (self.gamma + 1)
+        half = math.log((self.gamma + 1) / 2)
+        low, high = (int((math.log(x) + half) / math.log(self.gamma)) for x in (sys.float_info.min, sys.float_info.max))
+        while value(low) < sys.float_info.min:
+            low += 1
+        while math.log(2 / (self.gamma + 1)) + high * math.log(self.gamma) >= math.log(sys.float_info.max):
+            high -= 1
+        return max(low, -(2**30)), min(high, 2**30)
+
+    @property
+    def least_indexable(self) -> float:
+        """Values above it have a bin."""
+        return self.gamma ** (self.keys[0] - 1)
+
+    @property
+    def most_indexable(self) -> float:
+        return self.gamma ** self.keys[1]
+
 
 @dataclass(frozen=True)
 class CountMinParams:

@@ -48,7 +48,7 @@ def sa_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sa_count_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _six(panes.snapshot(panes.by_count(events(spark, sf_dir)), PaneWindow(50, 8)), "sum", "mean")
+    return _six(panes.snapshot(windows.by_count(events(spark, sf_dir)), PaneWindow(50, 8)), "sum", "mean")
 
 
 def eh_exact_count(spark: SparkSession, sf_dir: str) -> DataFrame:
