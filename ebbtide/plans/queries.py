@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.timegrid import DAY
 from ..operators import decay, distinct, frequency, panes, quantiles, windows
 from ..operators.batch import fold_events, fold_groups
-from ..operators.folds import Adwin, ConservativeCountMin, DecayedSums, DriftDetector, ExponentialHistogram, HeavyKeeper, RingHyperLogLog
-from ..params import CUSUM, PAGE_HINKLEY, AdwinParams, CountMinParams, DecayParams, DistinctParams, DriftParams, HeavyKeeperParams, HistogramParams, PaneWindow, QuantileParams, ReservoirParams
+from ..operators.folds import Adwin, DriftDetector, ExponentialHistogram, HeavyKeeper, RingHyperLogLog
+from ..params import CUSUM, PAGE_HINKLEY, AdwinParams, CountMinParams, DecayParams, DistinctParams, DriftParams, HeavyKeeperParams, HistogramParams, PaneWindow, QuantileParams, ReservoirParams, describe
 from ..sources.events import event_stream, events
 from ..streaming.stateful import fold_stream, run_once, tumbling_five
 
@@ -19,7 +19,13 @@ LATER = 1_706_745_600_000_000  # 2024-02-01, after the last event
 MIDDLE = LATER - 16 * DAY
 QUANTILES = [0.0, 0.5, 0.9, 0.99, 1.0]
 SKETCH = QuantileParams(DAY)
-CELLS = CountMinParams(WEEK)
+IDLE = 3 * DAY // 2  # before LATER: some users have events there, others have none
+BUCKETS = HistogramParams(float(WEEK), 0.05)
+HEAVY, WIDE = HeavyKeeperParams(4, 1024, 10), HeavyKeeperParams.with_accuracy(10, 0.001)
+CAREFUL = CountMinParams(WEEK)
+CELLS = CountMinParams(WEEK, conservative=False)
+RINGS = DistinctParams(DAY, 10, 8)
+DESCRIBED = (BUCKETS, AdwinParams(), DecayParams(float(DAY)), WIDE, DistinctParams(DAY, 12), DriftParams(CUSUM, 5.0, 500.0, 50.0), QuantileParams(DAY, 0.02), CountMinParams.with_accuracy(WEEK, 0.001, 0.001), ReservoirParams(50, float(WEEK)), PaneWindow(DAY, 32))
 SETS = DistinctParams(DAY)
 FADE = DecayParams(float(DAY))
 FIVE = ["count", "sum", "min", "max", "mean"]
@@ -67,11 +73,28 @@ def eh_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(windows.last_items(events(spark, sf_dir).filter("value > 0"), 20).select("grp", "seq", "count", "sum"), "sum")
 
 
-def eh_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate count and sum beside the buckets held, by event type."""
-    params = HistogramParams(float(WEEK), 0.05)
+def eh_idle_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _six(windows.last_window(events(spark, sf_dir).filter("value > 0"), IDLE, at=LATER), "sum")
+
+
+def _histogram(spark: SparkSession, sf_dir: str, at: int | None = None) -> DataFrame:
+    def read(state):
+        if at is not None:
+            state.advance(at)
+        return [(float(state.count()), round(state.sum(), 6), state.buckets(), state.size())]
+
     rows = events(spark, sf_dir, "event_type").filter("value > 0")
-    return fold_groups(rows, lambda: ExponentialHistogram(params), lambda s, e: s.add(e.t, e.value), lambda s: [(float(s.count()), s.sum(), s.buckets())], "count double, sum double, buckets int")
+    return fold_groups(rows, lambda: ExponentialHistogram(BUCKETS), lambda s, e: s.add(e.t, e.value), read, "count double, sum double, buckets int, size long")
+
+
+def eh_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate count and sum beside the buckets held and the events in them, by event type."""
+    return _histogram(spark, sf_dir)
+
+
+def eh_approx_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same once the clock has moved on without events."""
+    return _histogram(spark, sf_dir, LATER + WEEK // 2)
 
 
 def fd_at_last(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,13 +111,8 @@ def fd_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fd_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decayed count, sum, mean after each event, by event type."""
-
-    def step(state, event):
-        state.add(event.t, event.value)
-        count, total, mean, _ = state.read()
-        return [(event.seq, round(count, 6), round(total, 6), round(mean, 6))]
-
-    return fold_events(events(spark, sf_dir, "event_type"), lambda: DecayedSums(FADE), step, "seq long, count double, sum double, mean double")
+    found = windows.running_decayed(events(spark, sf_dir, "event_type"), FADE.rate, DAY)
+    return _six(found.select("grp", "seq", "count", "sum", (F.col("sum") / F.col("count")).alias("mean")), "count", "sum", "mean")
 
 
 def sdd_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +132,12 @@ def sdd_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.count(events(spark, sf_dir), SKETCH).select("grp", "count", "zeros", "bins")
 
 
+def sdd_idle_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of what is left of each window; null (NaN) and 0 for users whose window is empty."""
+    found = _six(quantiles.quantiles(events(spark, sf_dir), QuantileParams(IDLE), [0.5], at=LATER), "quantile")
+    return found.withColumn("quantile", F.when(~F.isnan("quantile"), F.col("quantile")))
+
+
 def scm_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.totals(events(spark, sf_dir, "event_type"), CELLS)
 
@@ -127,24 +151,22 @@ def scm_estimate_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.estimates(rows, rows.select("key"), CELLS)
 
 
+def scm_idle_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.totals(events(spark, sf_dir), CountMinParams(IDLE), at=LATER)
+
+
+def scm_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.status(events(spark, sf_dir, "event_type"), CELLS)
+
+
 def scm_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.exact(events(spark, sf_dir, "event_type"), CELLS)
 
 
 def scm_conservative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates of every key of a group by cells that are raised no further than needed, by event type."""
+    """Estimates of every key of a group by cells that are raised no further than needed, and the total, by event type."""
     rows = events(spark, sf_dir, "event_type")
-
-    def add(state, event):
-        cells, seen = state
-        cells.add(event.t, event.key, event.weight)
-        seen.add(int(event.key))
-
-    def read(state):
-        cells, seen = state
-        return [(k, int(cells.estimate(k)), int(cells.total())) for k in sorted(seen)]
-
-    return fold_groups(rows, lambda: (ConservativeCountMin(CELLS), set()), add, read, "key long, estimate long, total long", ("t", "seq", "key", "weight"))
+    return frequency.estimates(rows, rows.select("grp", "key"), CAREFUL).join(frequency.totals(rows, CAREFUL), "grp")
 
 
 def shll_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +181,14 @@ def shll_subwindow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.counts(events(spark, sf_dir, "event_type"), DistinctParams(WEEK), sub=DAY // 2)
 
 
+def shll_idle_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct.counts(events(spark, sf_dir), DistinctParams(IDLE), at=LATER)
+
+
 def shll_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bounded, order-dependent form, with its overflows."""
-    params = DistinctParams(DAY, 10, 8)
     rows = events(spark, sf_dir, "event_type")
-    return fold_groups(rows, lambda: RingHyperLogLog(params), lambda s, e: s.add(e.t, e.key), lambda s: [(int(s.count()), s.overflows, s.degraded())], "estimate long, overflows long, degraded boolean", ("t", "seq", "key"))
+    return fold_groups(rows, lambda: RingHyperLogLog(RINGS), lambda s, e: s.add(e.t, e.key), lambda s: [(int(s.count()), s.overflows, s.degraded())], "estimate long, overflows long, degraded boolean", ("t", "seq", "key"))
 
 
 def distinct_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,14 +196,12 @@ def distinct_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hk_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = HeavyKeeperParams(4, 1024, 10)
     rows = events(spark, sf_dir, "event_type")
-    return fold_groups(rows, lambda: HeavyKeeper(params), lambda s, e: s.add(e.key, e.weight), lambda s: [(i + 1, k, n) for i, (k, n) in enumerate(s.top())], "rank int, key long, count long", ("t", "seq", "key", "weight"))
+    return fold_groups(rows, lambda: HeavyKeeper(HEAVY), lambda s, e: s.add(e.key, e.weight), lambda s: [(i + 1, k, n) for i, (k, n) in enumerate(s.top())], "rank int, key long, count long", ("t", "seq", "key", "weight"))
 
 
 def hk_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimates of every key of a group, by event type."""
-    params = HeavyKeeperParams.with_accuracy(10, 0.001)
     rows = events(spark, sf_dir, "event_type")
 
     def add(state, event):
@@ -190,7 +213,7 @@ def hk_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
         heavy, seen = state
         return [(k, heavy.estimate(k)) for k in sorted(seen)]
 
-    return fold_groups(rows, lambda: (HeavyKeeper(params), set()), add, read, "key long, estimate long", ("t", "seq", "key", "weight"))
+    return fold_groups(rows, lambda: (HeavyKeeper(WIDE), set()), add, read, "key long, estimate long", ("t", "seq", "key", "weight"))
 
 
 def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,10 +253,31 @@ def dd_cusum_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drift(spark, sf_dir, DriftParams(CUSUM, 5.0, 500.0, 50.0, True))
 
 
+def _drift_state(spark: SparkSession, sf_dir: str, params: DriftParams) -> DataFrame:
+    """What the detector reads at the end of each event type; null before its first fire."""
+
+    def read(state):
+        statistic, mean, count, index, direction = state.read()
+        fired = index == index
+        return [(round(statistic, 6), round(mean, 6), count, int(index) if fired else None, int(direction) if fired else None)]
+
+    return fold_groups(events(spark, sf_dir, "event_type"), lambda: DriftDetector(params), lambda s, e: s.add(e.value), read, "statistic double, mean double, count long, last_index long, last_direction int")
+
+
 def dd_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the detector reads at the end of each event type."""
-    params = DriftParams(PAGE_HINKLEY, 5.0, 500.0)
-    return fold_groups(events(spark, sf_dir, "event_type"), lambda: DriftDetector(params), lambda s, e: s.add(e.value), lambda s: [s.read()], "statistic double, mean double, count long, last_index double, last_direction double")
+    return _drift_state(spark, sf_dir, DriftParams(PAGE_HINKLEY, 5.0, 500.0))
+
+
+def dd_state_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drift_state(spark, sf_dir, DriftParams(CUSUM, 5.0, 500.0, 50.0))
+
+
+def dd_state_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drift_state(spark, sf_dir, DriftParams(PAGE_HINKLEY, 5.0, 500.0, None, True))
+
+
+def dd_state_cusum_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drift_state(spark, sf_dir, DriftParams(CUSUM, 5.0, 500.0, 50.0, True))
 
 
 def adwin_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +292,14 @@ def adwin_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adwin_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir, "event_type")
-    return fold_groups(rows, lambda: Adwin(AdwinParams()), lambda s, e: s.add(e.value), lambda s: [(s.width(), round(s.mean(), 6), round(s.variance(), 4))], "width long, mean double, variance double")
+    return fold_groups(rows, lambda: Adwin(AdwinParams()), lambda s, e: s.add(e.value), lambda s: [(s.width(), round(s.mean(), 6), round(s.variance(), 4), s.buckets())], "width long, mean double, variance double, buckets int")
+
+
+def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number that the operators' parameters name or imply; those below 1e-3 or above 1e15 as natural logarithms."""
+    rows = [(type(p).__name__, name, float(x)) for p in DESCRIBED for name, x in describe(p).items() if isinstance(x, (int, float)) and not isinstance(x, bool)]
+    size = F.abs("number")
+    return spark.createDataFrame(rows, "operator string, name string, number double").withColumn("number", F.round(F.when((size == 0) | size.between(1e-3, 1e15), F.col("number")).otherwise(F.log(size)), 6))
 
 
 def stream_sa(spark: SparkSession, sf_dir: str) -> DataFrame:
