@@ -20,3 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="ebbtide-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def deleted_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete a folder when it ends, also if the session is stopped before."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)

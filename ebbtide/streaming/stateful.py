@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import Refused
-from ..sources.shared import shared_dir
+from ..sources.shared import deleted_at_end, shared_dir
 
 
 def fold_stream(stream: DataFrame, make: Callable[[], object], step: Callable[[object, object], Iterable[tuple]], schema: str, *, late: str = "drop", idle: int | None = None, read: Callable[[object], Iterable[tuple]] | None = None, columns: tuple[str, ...] = ("t", "seq", "value")) -> DataFrame:
@@ -78,6 +78,7 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     path = f"{shared_dir(spark)}/ebbtide-stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
+    deleted_at_end(spark, path)
     if query.exception():
         raise query.exception()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
