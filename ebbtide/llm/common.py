@@ -2,41 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
-
-_made: list = []
+from ..sources.shared import deleted_at_end, shared_dir
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a reread, not a recomputation.  The table goes when the driver ends.
+    Cuts the lineage: a lost executor costs a reread, not a recomputation.  The table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ebbtide-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
+    deleted_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _forget() -> None:
-    for spark, path in _made:
-        try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-        except Exception:  # the session may be gone already
-            return
-
-
-atexit.register(_forget)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -354,3 +354,30 @@ def near_duplicates_gone(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_
     slim = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc"), F.xxhash64(value).alias("th"))
     staying = slim.join(keep, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("row.*")
     return staying.unionByName(docs.filter(F.col(doc_id).isNull())).select(docs.columns)
+
+
+OP3_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END)), lambda i: array_to_string(w[i:i + 3], ' '))) AS s FROM words
+), hashes AS (
+  SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS h FROM sets
+), firsts AS (
+  SELECT min(doc_id) AS doc_id, h, any_value(n) AS n FROM hashes WHERE n > 0 GROUP BY h
+), tokens AS (
+  SELECT doc_id, n, hash(unnest(s)) AS token FROM sets JOIN firsts USING (doc_id)
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * c >= 85 * (na + nb - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT DISTINCT a, a FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b
+), least AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT hashes.doc_id, hashes.n AS n_shingles, coalesce(least.component_id, firsts.doc_id, hashes.doc_id) AS component_id
+FROM hashes LEFT JOIN firsts ON firsts.h = hashes.h AND hashes.n > 0 LEFT JOIN least ON least.doc_id = firsts.doc_id
+"""

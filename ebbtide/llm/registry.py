@@ -2,12 +2,12 @@
 
 from .ann import op6_ann
 from .covertree import OP2_SQL, op2_exact_topk
-from .jaccard import op3_jaccard_join
+from .jaccard import OP3_SQL, op3_jaccard_join
 from .langid import op1_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .packing import op8_packing
-from .repeats import op10_suffix_dedup
+from .repeats import OP10_SQL, op10_suffix_dedup
 from .sharding import op4_sharding
 from .toxicity import op7_toxicity
 
@@ -25,6 +25,8 @@ QUERIES = {
 }
 ORACLES = {
     "op2_exact_topk": OP2_SQL,
+    "op3_jaccard_join": OP3_SQL,
     "op5_mixing": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op10_suffix_dedup": OP10_SQL,
 }

@@ -316,3 +316,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 400 bytes that start elsewhere too."""
     found = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as two hexadecimal digits each; texts are cut into parts of 4,000 bytes, with those that their last windows need.
+OP10_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents
+), parts AS (
+  SELECT doc_id, r, length(x) // 2 AS n, p, substr(x, 8000 * p + 1, {8000 + 2 * LENGTH - 2}) AS x FROM (SELECT *, unnest(range(0, greatest(length(x) // 2 - {LENGTH - 1}, 0) // 4000 + 1)) AS p FROM texts)
+), windows AS (
+  SELECT r, 4000 * p + i AS place, hash(substr(x, 2 * i + 1, {2 * LENGTH})) AS h FROM (SELECT r, p, x, unnest(range(0, least(4000, length(x) // 2 - {LENGTH - 1}))) AS i FROM parts)
+), twice AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), starts AS (
+  SELECT r, place, coalesce(place - lag(place) OVER (PARTITION BY r ORDER BY place) > {LENGTH}, TRUE) AS new FROM windows SEMI JOIN twice USING (h)
+), runs AS (
+  SELECT r, min(place) AS lo, max(place) + {LENGTH} AS hi FROM (SELECT *, count(*) FILTER (WHERE new) OVER (PARTITION BY r ORDER BY place) AS run FROM starts) GROUP BY r, run
+), cuts AS (
+  SELECT r, sum(hi - lo) AS gone, count(*) AS spans, list({{'lo': lo, 'hi': hi}} ORDER BY lo) AS cut FROM runs GROUP BY r
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN cut IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(cut) + 1),
+    lambda i: substr(x, CASE WHEN i = 0 THEN 1 ELSE 2 * cut[i].hi + 1 END, CASE WHEN i = len(cut) THEN length(x) ELSE 2 * cut[i + 1].lo - CASE WHEN i = 0 THEN 0 ELSE 2 * cut[i].hi END END)), '') END)) AS kept_sha256
+FROM texts LEFT JOIN cuts USING (r)
+"""
