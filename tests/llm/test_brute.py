@@ -188,7 +188,7 @@ def test_patterns_are_all_that_fill_a_sequence():
     lengths = np.array([3, 5, 8, 11, 16, 20])
     got = {tuple(int(lengths[i]) for i in row if i >= 0) for row in packing.patterns(lengths, 24, 0)}
     want = {tuple(sorted(c, reverse=True)) for k in (1, 2, 3) for c in itertools.combinations_with_replacement(lengths.tolist(), k) if sum(c) == 24}
-    assert got == want == {(16, 8), (8, 8, 8), (16, 5, 3)}
+    assert got == want and {(16, 8), (8, 8, 8), (11, 8, 5)} < got
 
 
 def test_shards_are_the_ring_dealt_row_by_row(spark, table):
