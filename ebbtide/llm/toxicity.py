@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, held_out
+from .common import bounded_sample, documents, held_out, saved
 from .words import rows, words_of
 
 log = logging.getLogger(__name__)
@@ -87,20 +87,23 @@ def train(docs: list[np.ndarray], labels: np.ndarray, n_words: int, swaps: tuple
     A document is the sorted array of its words; ``l1`` counts documents.  Accelerated proximal gradients; each weight has a
     step of its own.
     """
+    sizes = np.array([len(d) for d in docs], np.int64)
     flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     n, m = len(docs), max(len(swaps[0]), 1)
-    size = np.bincount(row, minlength=n) + 1.0
-    curve = np.bincount(flat, size[row] / 4, n_words) / n + l2  # majorises the Hessian
+    filled = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[filled]
+    size = sizes + 1.0
+    curve = np.bincount(flat, np.repeat(size / 4, sizes), n_words) / n + l2  # majorises the Hessian
     curve += 4 * fairness * (np.bincount(swaps[0], minlength=n_words) + np.bincount(swaps[1], minlength=n_words)) / m
-    step, bias_step = 1 / np.maximum(curve, 1e-9), 1 / (size.mean() / 4)
+    step, bias_step = 1 / np.maximum(curve, 1e-9), 4 / size.mean()
     w, b = np.zeros(n_words), 0.0
     v, c, t = w, b, 1.0
+    z, held = np.zeros(n), np.empty(len(flat))
     for _ in range(steps):
-        z = np.bincount(row, v[flat], n) + c
-        off = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels) / n
+        z[filled] = np.add.reduceat(np.take(v, flat, out=held, mode="clip"), starts) if len(flat) else 0
+        off = (1 / (1 + np.exp(-np.clip(z + c, -60, 60))) - labels) / n
         gap = (v[swaps[0]] - v[swaps[1]]) * 2 * fairness / m
-        slope = np.bincount(flat, off[row], n_words) + l2 * v + np.bincount(swaps[0], gap, n_words) - np.bincount(swaps[1], gap, n_words)
+        slope = np.bincount(flat, np.repeat(off, sizes), n_words) + l2 * v + np.bincount(swaps[0], gap, n_words) - np.bincount(swaps[1], gap, n_words)
         new = v - step * slope
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1 / n, 0)
         new_b = c - bias_step * off.sum()
@@ -116,6 +119,19 @@ def _distinct_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.list_(pa.string()))], ["id", "y", "words"])
 
 
+def _word_numbers(sent):
+    """The places of a document's words in the sorted names, without those that aren't there."""
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column("words")
+            at = pc.index_in(words.flatten(), value_set=sent.value).to_numpy(zero_copy_only=False)
+            parts = [np.sort(x[~np.isnan(x)]).astype(np.int32) for x in np.split(at, np.cumsum(pc.list_value_length(words).to_numpy())[:-1])] if len(words) else []
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(parts, pa.list_(pa.int32()))], ["id", "y", "words"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 16_000, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, fairness: float = 1.0, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Learn from about ``max_docs`` rows of ``labels`` that have a label and a document.  The caller leaves out what is held out.
 
@@ -127,19 +143,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 16_000, terms: tu
     chosen = bounded_sample(marked, F.col("id"), max_docs).groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))  # about max_docs rows
-    kept = joined.mapInArrow(_distinct_words, "id long, y int, words array<string>").toArrow().sort_by("id")
+    found = saved(joined.mapInArrow(_distinct_words, "id long, y int, words array<string>"))
+    held = found.select(F.explode("words").alias("word")).groupBy("word").count().filter("count > 1")  # a word of one document alone has the weight 0, see train
+    names = pa.array(sorted({*held.select("word").toArrow().column(0).to_pylist(), *(t for own in terms for t in own)}), pa.string())
+    kept = found.mapInArrow(_word_numbers(docs.sparkSession.sparkContext.broadcast(names)), "id long, y int, words array<int>").toArrow().sort_by("id")
     labelled = kept.column("y").to_numpy().astype(float)
     if not labelled.any():
         return ToxicityModel({}, -np.inf)
-    lists = kept.column("words").combine_chunks()
-    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-    flat = lists.flatten()
-    held = pc.value_counts(flat)  # a word of one document alone has the weight 0 in any case, see train
-    names = sorted({*pc.filter(held.field("values"), pc.greater(held.field("counts"), 1)).to_pylist(), *(t for own in terms for t in own)})
-    at = pc.fill_null(pc.index_in(flat, value_set=pa.array(names, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    own = [np.sort(x[x >= 0]) for x in np.split(at, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))[:-1])]
+    own = [x for part in kept.column("words").chunks for x in np.split(part.flatten().to_numpy(), np.cumsum(pc.list_value_length(part).to_numpy())[:-1])]
+    names = names.to_pylist()
     swaps = counterfactuals(own, {w: i for i, w in enumerate(names)}, terms)
     log.log(logging.INFO if len(swaps[0]) else logging.WARNING, "%d counterfactual pairs in %d labelled documents", len(swaps[0]), len(own))
+    del kept, held, found
+    pa.default_memory_pool().release_unused()
     weights, bias = train(own, labelled, len(names), swaps, fairness=fairness)
     return ToxicityModel({w: float(weights[i]) for i, w in enumerate(names) if weights[i]}, float(bias), len(swaps[0]))
 
