@@ -107,6 +107,7 @@ def shard_rows(df: DataFrame, shards: int = 16, *, text: str = "text", keep: tup
     table = spark.createDataFrame(segments, "_slot long, _from long, _to long, _shard int, _first long")
     part_bits = max(4, (total // (CELL << ring_bits)).bit_length())
     hot = slim.groupBy(F.col("_hash").alias("_hot")).agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_cells")).filter("_cells > 1")  # a row for each CELL rows at most
+    hot = F.broadcast(hot) if total // CELL <= 1_000_000 else hot
     cells = slim.join(hot, F.col("_hash") == F.col("_hot"), "left").withColumns({"_part": F.shiftrightunsigned(F.shiftleft(F.col("_hash"), ring_bits), 64 - part_bits), "_hot": F.coalesce("_hot", F.lit(0)), "_salt": F.pmod(F.xxhash64(*ids), F.coalesce("_cells", F.lit(1)))}).drop("_cells")
     ranked = positions(cells, ["_slot"], ["_part", "_hot", "_salt"], ["_hash", *ids], "_at")
     found = ranked.join(F.broadcast(table), (ranked["_slot"] == table["_slot"]) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
