@@ -19,7 +19,8 @@ _NEW = object()
 
 
 def _folded(df: DataFrame, make: Callable[[], object], step: Callable | None, add: Callable | None, read: Callable | None, schema: str, columns: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
-    arranged = df.select(*by, *columns).repartition(*by).sortWithinPartitions(*by, "t", "seq")
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is given isn't merged: a fold costs more than its bytes tell
+    arranged = df.select(*by, *columns).repartition(width, *by).sortWithinPartitions(*by, "t", "seq")
     kinds = {f.name: f.dataType.simpleString() for f in arranged.schema}
     whole = ", ".join([*(f"{c} {kinds[c]}" for c in by), schema])
     event_of = namedtuple("event_of", columns)._make
