@@ -347,3 +347,5 @@ SELECT grp, rank, seq, value FROM r WHERE rank <= 50""",
     "stream_sa": f"""WITH {BY_TYPE}, w AS (SELECT grp, t // 3600000000 * 3600000000 AS start, value FROM e), last AS (SELECT max(t) // 1000 * 1000 - {DAY} AS mark FROM e)
 SELECT grp, start, count(*) AS count, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max FROM w, last GROUP BY grp, start, mark HAVING start + 3600000000 <= mark""",
 }
+#: A stream that has seen all events has the rows of the batch.
+ORACLES |= {"stream_dd_cusum": ORACLES["dd_cusum"], "stream_fd": ORACLES["fd_running"], "stream_adwin": ORACLES["adwin_state"], "stream_eh": ORACLES["eh_approx"], "stream_hk": ORACLES["hk_topk"], "stream_shll": ORACLES["shll_ring"]}

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timegrid import DAY
-from ..operators import decay, distinct, frequency, panes, quantiles, windows
+from ..operators import decay, distinct, frequency, heavy, panes, quantiles, windows
 from ..operators.batch import fold_events, fold_groups
-from ..operators.folds import Adwin, DriftDetector, ExponentialHistogram, HeavyKeeper, RingHyperLogLog
+from ..operators.folds import Adwin, DecayedSums, DriftDetector, ExponentialHistogram, HeavyKeeper, RingHyperLogLog
 from ..params import CUSUM, PAGE_HINKLEY, AdwinParams, CountMinParams, DecayParams, DistinctParams, DriftParams, HeavyKeeperParams, HistogramParams, PaneWindow, QuantileParams, ReservoirParams, describe
 from ..sources.events import event_stream, events
-from ..streaming.stateful import fold_stream, run_once, tumbling_five
+from ..streaming.stateful import fold_stream, latest, run_once, summary_stream, tumbling_five
 
 WEEK = 7 * DAY
 GRID = PaneWindow(DAY, 32)
@@ -203,17 +203,7 @@ def hk_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hk_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimates of every key of a group, by event type."""
     rows = events(spark, sf_dir, "event_type")
-
-    def add(state, event):
-        heavy, seen = state
-        heavy.add(event.key, event.weight)
-        seen.add(int(event.key))
-
-    def read(state):
-        heavy, seen = state
-        return [(k, heavy.estimate(k)) for k in sorted(seen)]
-
-    return fold_groups(rows, lambda: (HeavyKeeper(WIDE), set()), add, read, "key long, estimate long", ("t", "seq", "key", "weight"))
+    return heavy.estimates(rows, rows, WIDE)
 
 
 def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,12 +298,57 @@ def stream_sa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(found, "sum")
 
 
-def stream_dd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fires of dd_ph from a stream."""
-    params = DriftParams(PAGE_HINKLEY, 5.0, 500.0)
-
+def _stream_drift(spark: SparkSession, sf_dir: str, params: DriftParams) -> DataFrame:
     def step(state, event):
         return [(event.seq, state.last_index, state.last_direction)] if state.add(event.value) else []
 
     stream = fold_stream(event_stream(spark, sf_dir, "event_type"), lambda: DriftDetector(params), step, "seq long, index long, direction int")
     return run_once(stream).select("grp", "seq", "index", "direction")
+
+
+def stream_dd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fires of dd_ph from a stream."""
+    return _stream_drift(spark, sf_dir, DriftParams(PAGE_HINKLEY, 5.0, 500.0))
+
+
+def stream_dd_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fires of dd_cusum from a stream."""
+    return _stream_drift(spark, sf_dir, DriftParams(CUSUM, 5.0, 500.0, 50.0))
+
+
+def stream_fd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fd_running from a stream."""
+
+    def step(state, event):
+        state.add(event.t, event.value)
+        return [(event.seq, *state.read()[:3])]
+
+    stream = fold_stream(event_stream(spark, sf_dir, "event_type"), lambda: DecayedSums(FADE), step, "seq long, count double, sum double, mean double")
+    return _six(run_once(stream).drop("late"), "count", "sum", "mean")
+
+
+def stream_adwin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """adwin_state from a stream, as it stands after all events."""
+    found = summary_stream(event_stream(spark, sf_dir, "event_type"), lambda: Adwin(AdwinParams()), lambda s, e: s.add(e.value), lambda s: [(s.width(), round(s.mean(), 6), round(s.variance(), 4), s.buckets())], "width long, mean double, variance double, buckets int")
+    return latest(run_once(found))
+
+
+def stream_eh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """eh_approx from a stream, as it stands after all events."""
+    rows = event_stream(spark, sf_dir, "event_type").filter("value > 0")
+    found = summary_stream(rows, lambda: ExponentialHistogram(BUCKETS), lambda s, e: s.add(e.t, e.value), lambda s: [(float(s.count()), round(s.sum(), 6), s.buckets(), s.size())], "count double, sum double, buckets int, size long")
+    return latest(run_once(found))
+
+
+def stream_hk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hk_topk from a stream, as it stands after all events."""
+    rows = event_stream(spark, sf_dir, "event_type")
+    found = summary_stream(rows, lambda: HeavyKeeper(HEAVY), lambda s, e: s.add(e.key, e.weight), lambda s: [(i + 1, k, n) for i, (k, n) in enumerate(s.top())], "rank int, key long, count long", columns=("t", "seq", "key", "weight"))
+    return latest(run_once(found))
+
+
+def stream_shll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shll_ring from a stream, as it stands after all events."""
+    rows = event_stream(spark, sf_dir, "event_type")
+    found = summary_stream(rows, lambda: RingHyperLogLog(RINGS), lambda s, e: s.add(e.t, e.key), lambda s: [(int(s.count()), s.overflows, s.degraded())], "estimate long, overflows long, degraded boolean", columns=("t", "seq", "key"))
+    return latest(run_once(found))

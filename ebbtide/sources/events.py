@@ -18,5 +18,6 @@ def events(spark: SparkSession, sf_dir: str, by: str = "user_id") -> DataFrame:
 def event_stream(spark: SparkSession, sf_dir: str, by: str = "user_id", watermark: str = "1 day") -> DataFrame:
     """The same rows as a stream of files, with the event time and its watermark."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    weight = F.get_json_object("props", "$.k").cast("long") + 1
     table = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return table.select(F.col(by).alias("grp"), F.timestamp_micros(micros(F.col("ts"))).alias("ts"), micros(F.col("ts")).alias("t"), F.col("event_id").alias("seq"), "value", F.col("user_id").alias("key")).withWatermark("ts", watermark)
+    return table.select(F.col(by).alias("grp"), F.timestamp_micros(micros(F.col("ts"))).alias("ts"), micros(F.col("ts")).alias("t"), F.col("event_id").alias("seq"), "value", F.col("user_id").alias("key"), weight.alias("weight")).withWatermark("ts", watermark)

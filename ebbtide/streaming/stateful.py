@@ -25,6 +25,10 @@ def fold_stream(stream: DataFrame, make: Callable[[], object], step: Callable[[o
 
     ``idle`` is in microseconds and needs a watermark and ``read``; a state with ``advance`` has it called.
     """
+    return _stateful(stream, make, step, None, read, schema, late, idle, columns)
+
+
+def _stateful(stream, make, step, add, read, schema, late, idle, columns) -> DataFrame:
     if late not in ("drop", "raise"):
         raise ValueError("late must be drop or raise")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
@@ -37,14 +41,14 @@ def fold_stream(stream: DataFrame, make: Callable[[], object], step: Callable[[o
         return found
 
     def run(key, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        machine, left, last = pickle.loads(group.get[0]) if group.exists else (make(), 0, None)
+        machine, left, last, seen = pickle.loads(group.get[0]) if group.exists else (make(), 0, None, 0)
         if group.hasTimedOut:
             moved = group.getCurrentWatermarkMs() * 1000
             if last is None or moved > last:
                 if hasattr(machine, "advance"):
                     machine.advance(moved)
                 last = moved
-            group.update((pickle.dumps((machine, left, last)),))
+            group.update((pickle.dumps((machine, left, last, seen)),))
             yield table(key, list(read(machine)), left)
             return
         out: list[tuple] = []
@@ -55,8 +59,13 @@ def fold_stream(stream: DataFrame, make: Callable[[], object], step: Callable[[o
                 left += 1
                 continue
             last = event.t
-            out += step(machine, event)
-        group.update((pickle.dumps((machine, left, last)),))
+            if add:
+                add(machine, event)
+            else:
+                out += step(machine, event)
+        if add:
+            out = [(seen + 1, *row) for row in read(machine)]
+        group.update((pickle.dumps((machine, left, last, seen + 1)),))
         if idle is not None:
             group.setTimeoutTimestamp(max(last + idle, group.getCurrentWatermarkMs() * 1000 + 1) // 1000 + 1)
         yield table(key, out, left)
@@ -66,6 +75,21 @@ def fold_stream(stream: DataFrame, make: Callable[[], object], step: Callable[[o
     return kept.groupBy("grp").applyInPandasWithState(run, f"grp {kind}, {schema}, late long", "state binary", "append", timeout)
 
 
+def summary_stream(stream: DataFrame, make: Callable[[], object], add: Callable[[object, object], None], read: Callable[[object], Iterable[tuple]], schema: str, *, late: str = "drop", columns: tuple[str, ...] = ("t", "seq", "value")) -> DataFrame:
+    """grp, step, the rows of ``read(state)`` after each micro-batch with events of the group, and late.
+
+    ``step`` counts the group's micro-batches from 1: a group's last step is its present state, see ``latest``.  A micro-batch
+    of late events only has a step too.
+    """
+    return _stateful(stream, make, None, add, read, f"step long, {schema}", late, None, columns)
+
+
+def latest(found: DataFrame) -> DataFrame:
+    """Of what ``summary_stream`` has written, the rows of each group's last step, without step and late."""
+    last = found.groupBy(F.col("grp").alias("of")).agg(F.max("step").alias("last"))
+    return found.join(last, F.col("grp").eqNullSafe(F.col("of")) & (F.col("step") == F.col("last"))).drop("of", "last", "step", "late")
+
+
 def tumbling_five(stream: DataFrame, pane_seconds: int) -> DataFrame:
     """Pane rows of the exact aggregates as a stream: by, pane start, count, sum, min, max, once the watermark has passed."""
     window = F.window("ts", f"{pane_seconds} seconds")

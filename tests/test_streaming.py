@@ -6,7 +6,7 @@ import pytest
 from ebbtide.operators.batch import fold_events
 from ebbtide.operators.folds import DecayedSums, SlidingFive
 from ebbtide.params import DecayParams
-from ebbtide.streaming.stateful import fold_stream, run_once
+from ebbtide.streaming.stateful import fold_stream, latest, run_once, summary_stream
 
 SCHEMA = "grp string, t long, seq long, value double, ts timestamp"
 
@@ -37,6 +37,20 @@ def test_a_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert key(got) == key(want)
 
 
+def test_a_summary_after_several_micro_batches_is_that_of_all_events(spark, tmp_path):
+    rows = [("ab"[i % 2], i * 10, i, float(i)) for i in range(60)] + [(None, 5, 100, 1.0)]
+    stream = stream_of(spark, tmp_path, [[*rows[:20], rows[60]], rows[20:45], [r for r in rows[45:60] if r[0] == "a"]])
+    found = summary_stream(stream, lambda: DecayedSums(DecayParams(50.0)), lambda s, e: s.add(e.t, e.value), lambda s: [s.read()[:2]], "count double, sum double")
+    written = run_once(found)
+    assert sorted((r.grp or "", r.step) for r in written.collect()) == [("", 1), ("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)]
+    want = {}
+    for g, t, _, v in rows[:45] + [r for r in rows[45:60] if r[0] == "a"] + rows[60:]:
+        want.setdefault(g, DecayedSums(DecayParams(50.0))).add(t, v)
+    got = latest(written)
+    assert got.columns == ["grp", "count", "sum"]
+    assert {r.grp: (r["count"], r["sum"]) for r in got.collect()} == {g: s.read()[:2] for g, s in want.items()}
+
+
 def test_late_events_are_counted_or_fail(spark, tmp_path):
     batches = [[("a", 1000, 1, 1.0)], [("a", 500, 2, 1.0), ("a", 2000, 3, 1.0)]]
     (tmp_path / "x").mkdir()
