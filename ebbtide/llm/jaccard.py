@@ -25,10 +25,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, saved
+from .common import bounded_sample, documents, saved, settled
 from .graph import components
 from .sigtree import TokenSets, Tree, candidate_pairs, link
 from .words import rows
@@ -126,16 +126,15 @@ def set_id(tokens: np.ndarray) -> int | None:
     return int.from_bytes(xxhash.xxh3_64_digest(tokens.tobytes()), "little", signed=True) if len(tokens) else None
 
 
-def _summaries(n: int, percent: int, common):
+def _summaries(n: int):
     def run(batches):
-        known = common.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for doc, at, text in rows(batch, 16):
                 tokens = shingles(text, n)
-                for own, x in zip(out, (doc, at, len(tokens), set_id(tokens), keys_of(tokens, percent, known).tobytes()), strict=True):
+                for own, x in zip(out, (doc, at, len(tokens), set_id(tokens)), strict=True):
                     own.append(x)
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.binary())], ["doc", "th", "n", "sid", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc", "th", "n", "sid"])
 
     return run
 
@@ -152,8 +151,8 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[head], ids[head], links[:, 0], links[:, 1]
 
 
-def _deal(parts: int):
-    """(part, keys, ids, a, b): entries by key, and links, in packed columns."""
+def _deal(parts: int, n: int, percent: int, common):
+    """(part, keys, ids, a, b) of texts: entries by key, and links, in packed columns."""
 
     def pack(keys: list, ids: list):
         k, i, a, b = _stars(np.concatenate(keys), np.concatenate(ids))
@@ -166,20 +165,24 @@ def _deal(parts: int):
         return pa.RecordBatch.from_arrays(columns, ["part", "keys", "ids", "a", "b"])
 
     def run(batches):
+        known = common.value
         keys: list[np.ndarray] = []
         ids: list[np.ndarray] = []
-        n = 0
+        seen: set[int | None] = {None}
+        size = 0
         for batch in batches:
-            for sid, blob in rows(batch):
-                if blob:
-                    own = np.frombuffer(blob, np.uint64)
-                    keys.append(own)
-                    ids.append(np.full(len(own), sid, np.int64))
-                    n += len(own)
-                if n > CHUNK_KEYS:
+            for (text,) in rows(batch, 16):
+                tokens = shingles(text, n)
+                sid = set_id(tokens)
+                if sid not in seen:
+                    seen.add(sid)
+                    keys.append(keys_of(tokens, percent, known))
+                    ids.append(np.full(len(keys[-1]), sid, np.int64))
+                    size += len(keys[-1])
+                if size > CHUNK_KEYS:
                     yield pack(keys, ids)
-                    keys, ids, n = [], [], 0
-        if n:
+                    keys, ids, seen, size = [], [], {None}, 0
+        if size:
             yield pack(keys, ids)
 
     return run
@@ -192,11 +195,19 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
 
-def blocks_of(summary: DataFrame) -> DataFrame:
-    """(v, root) of the sets that share keys."""
-    total = summary.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
+def _level(percent: int) -> Column:
+    """One more than the size level of ``n`` tokens."""
+    return F.size(F.filter(F.array(*[F.lit(int(x)) for x in levels(percent)[0] if x < 1 << 24]), lambda x: x <= F.col("n")))
+
+
+def blocks_of(texts: DataFrame, sets: DataFrame, n: int, percent: int, common) -> DataFrame:
+    """(v, root) of the sets that share keys.  Keys are made where they are dealt out: a table of them is as large as the input."""
+    _, differ, spare = levels(percent)
+    classes = np.where(differ > 0, differ + 1 + spare, 0)
+    most = F.array(*[F.lit(int(x)) for x in classes + np.append(0, classes[:-1])])
+    total = sets.agg(F.coalesce(F.sum(F.element_at(most, _level(percent))), F.lit(0))).first()[0]
     parts = max(1, -(-total // REDUCE_KEYS))
-    dealt = summary.select("sid", "keys").mapInArrow(_deal(parts), "part long, keys binary, ids binary, a binary, b binary")
+    dealt = texts.select("text").mapInArrow(_deal(parts, n, percent, common), "part long, keys binary, ids binary, a binary, b binary")
     return components(dealt.groupBy("part").applyInArrow(_meet, "a long, b long"))
 
 
@@ -277,13 +288,22 @@ def _linked(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> Da
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(value).alias("th"), value.alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_tokens(slim, n))
-    summary = saved(slim.mapInArrow(_summaries(n, percent, common), "doc long, th long, n long, sid long, keys binary"))
+    summary = saved(slim.mapInArrow(_summaries(n), "doc long, th long, n long, sid long"))
     sets = saved(summary.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc").alias("least"), F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "th")).alias("of"), F.max("n").alias("n")))
-    roots = blocks_of(summary)
+    joined = settled(lambda: _joined(slim, sets, n, percent, common))
+    whole = joined.unionByName(joined.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "sid")
+    least = whole.join(sets.select("sid", "least", "of"), "sid")
+    by_root = least.groupBy("root").agg(F.min("least").alias("component"), F.min("of").alias("first"))
+    named = sets.select("sid", "least", "of").join(whole.join(by_root, "root").select("sid", "component", "first"), "sid", "left")
+    named = named.select("sid", F.coalesce("component", "least").alias("component"), F.coalesce("first", "of").alias("first"))
+    return summary.select("doc", "th", "n", "sid").join(named, "sid", "left").drop("sid")
+
+
+def _joined(slim: DataFrame, sets: DataFrame, n: int, percent: int, common) -> DataFrame:
+    """(v, root) of the sets that are linked, directly or through others."""
+    roots = settled(lambda: blocks_of(slim, sets, n, percent, common))
     members = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct()).withColumnsRenamed({"v": "sid", "root": "block"})
-    starts = levels(percent)[0]
-    level = F.size(F.filter(F.array(*[F.lit(int(x)) for x in starts if x < 1 << 24]), lambda x: x <= F.col("n")))
-    placed = members.join(sets, "sid").select("sid", "block", "n", F.col("of.doc").alias("doc"), F.col("of.th").alias("th"), level.alias("level"))
+    placed = members.join(sets, "sid").select("sid", "block", "n", F.col("of.doc").alias("doc"), F.col("of.th").alias("th"), _level(percent).alias("level"))
     placed = saved(placed)
     sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
     large = saved(sizes.filter((F.col("c") > CELL_SETS) | (F.col("t") > CELL_TOKENS)).select("block", F.lit(True).alias("large")))
@@ -293,18 +313,12 @@ def _linked(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> Da
     celled = placed.join(split, ["block", "level"], "left").withColumn("cell", F.when(F.col("k").isNull(), F.pmod(F.xxhash64("block"), F.lit(bundles))).otherwise(F.xxhash64("block", "level", F.pmod(F.xxhash64("sid"), F.col("k")))))
     celled = celled.select("doc", "th", "sid", "block", "level", "cell", F.col("k").isNotNull().alias("large"))
     texts = slim.join(celled, (slim["doc"].eqNullSafe(celled["doc"])) & (slim["th"] == celled["th"])).select("sid", "block", "level", "cell", "large", "text")
-    tokens = saved(texts.mapInArrow(_tokens(n), "sid long, block long, level int, cell long, large boolean, tokens binary"))
-    local = saved(tokens.select("sid", "block", "cell", "tokens").groupBy("cell").applyInArrow(_join_cell(percent), "sid long, block long, group long"))
+    tokens = settled(lambda: texts.mapInArrow(_tokens(n), "sid long, block long, level int, cell long, large boolean, tokens binary"))
+    local = settled(lambda: tokens.select("sid", "block", "cell", "tokens").groupBy("cell").applyInArrow(_join_cell(percent), "sid long, block long, group long"))
     links = local.select(F.col("sid").alias("a"), F.col("group").alias("b"))
     if not large.isEmpty():
         links = links.unionByName(_between_cells(tokens.filter("large").drop("large"), local, links, percent))
-    joined = components(links)
-    whole = joined.unionByName(joined.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "sid")
-    least = whole.join(sets.select("sid", "least", "of"), "sid")
-    by_root = least.groupBy("root").agg(F.min("least").alias("component"), F.min("of").alias("first"))
-    named = sets.select("sid", "least", "of").join(whole.join(by_root, "root").select("sid", "component", "first"), "sid", "left")
-    named = named.select("sid", F.coalesce("component", "least").alias("component"), F.coalesce("first", "of").alias("first"))
-    return summary.select("doc", "th", "n", "sid").join(named, "sid", "left").drop("sid")
+    return components(links)
 
 
 def _between_cells(tokens: DataFrame, local: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -327,7 +341,7 @@ def _between_cells(tokens: DataFrame, local: DataFrame, links: DataFrame, percen
     expected = visits.select("cell", "chunk").distinct()
     hosts = known.select("sid", "block", "group", "cell", F.lit(True).alias("home"), "tokens").join(expected, "cell").select("sid", "block", "group", "cell", "chunk", "home", "tokens")
     found = visits.unionByName(hosts).groupBy("cell", "chunk").applyInArrow(_visit(percent), "a long, b long")
-    return met.unionByName(saved(found))
+    return met.unionByName(settled(lambda: found))
 
 
 def _capped(heads: DataFrame) -> DataFrame:
