@@ -222,6 +222,34 @@ def test_suffix_arrays():
             assert lcp[i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_suffix_arrays_of_some_places():
+    rng = np.random.default_rng(7)
+    for trial in range(200):
+        n, letters, depth = int(rng.integers(1, 150)), int(rng.integers(1, 5)), int(rng.choice([8, 13, 30]))
+        t = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        if trial % 3 == 0 and n > 20:
+            t[n // 2 : n // 2 + n // 4] = t[: n // 4]
+        wanted = rng.random(n) < rng.choice([0, 0.02, 0.3, 1])
+        order, data = suffixes.suffix_array(t, depth, wanted), t.tobytes()
+        heads = [data[i : i + depth] for i in order]
+        assert sorted(order.tolist()) == np.flatnonzero(wanted).tolist() and heads == sorted(heads)
+        order = order[order + depth <= n]
+        assert suffixes.alike(order, t, depth).tolist() == [i for i in range(1, len(order)) if data[order[i] :][:depth] == data[order[i - 1] :][:depth]]
+
+
+def test_only_starts_of_windows_are_sorted(monkeypatch):
+    """A context's last length - 1 bytes start no window: they cost no sorting."""
+    looked: list[int] = []
+    sort = suffixes.sort_directly
+    monkeypatch.setattr(suffixes, "sort_directly", lambda places, x8, depth: looked.append(len(places)) or sort(places, x8, depth))
+    rng = np.random.default_rng(8)
+    shared = rng.integers(97, 123, 430).astype(np.uint8).tobytes()
+    contexts = [bytes(rng.integers(97, 123, 45).astype(np.uint8)) + shared + bytes(rng.integers(97, 123, 45).astype(np.uint8)) for _ in range(50)]
+    found = repeats.repeated_starts(contexts, 400)
+    assert all(set(range(45, 76)) <= set(x.tolist()) for x in found)
+    assert sum(looked) <= 50 * (520 - 400 + 1)  # before: about half of all 26,000 bytes
+
+
 def test_cover_tree_search_is_exact_and_prunes_clusters(monkeypatch):
     monkeypatch.setattr(covertree, "LEAF", 8)
     rng = np.random.default_rng(6)
